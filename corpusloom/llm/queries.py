@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.leakage import find_leaks
+from corpusloom.llm.splitting import oversized_items, split_oversized
 from corpusloom.llm.tokenize import encode_corpus
+from corpusloom.llm.truncation import length_hazards, lengths_of, truncated_texts, truncation_by_source
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +21,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def _cut(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    chunks = split_oversized(table(spark, d, "pdf_chunks"), "id", "text", "pdf_chunks", "extraido_em", with_text=with_text)
+    return chunks.union(split_oversized(table(spark, d, "perguntas_lote01"), "n", "passagem_texto", "perguntas_lote01", "carregado_em", with_text=with_text))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return oversized_items(_cut(spark, d, with_text=False))
+
+
+@query
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d, with_text=True)
+
+
 @query
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
@@ -27,3 +44,23 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_by_source(table(spark, d, "documents"))
+
+
+@query
+def p8_hazards(spark: SparkSession, d: str) -> DataFrame:
+    return length_hazards(lengths_of(table(spark, d, "documents")))
+
+
+SQL["p5_found"] = """
+SELECT 'pdf_chunks' AS item_table, id AS item_key FROM pdf_chunks WHERE length(text) > 1200 GROUP BY id
+UNION ALL SELECT 'perguntas_lote01', CAST(n AS VARCHAR) FROM perguntas_lote01 WHERE length(passagem_texto) > 1200 GROUP BY n"""
