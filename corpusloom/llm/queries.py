@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.allocation import allocation_report, draw_sample, latest
+from corpusloom.llm.consensus import Consensus, agreement, judgments
 from corpusloom.llm.leakage import find_leaks
 from corpusloom.llm.splitting import oversized_items, split_oversized
 from corpusloom.llm.tokenize import encode_corpus
@@ -21,6 +23,44 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "perguntas_factuais"), "n", "carregado_em", ["question_type", "difficulty"])
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return allocation_report(_pool(spark, d), table(spark, d, "metas_amostra")).filter("shortfall > 0").select("question_type", "difficulty")
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return allocation_report(_pool(spark, d), table(spark, d, "metas_amostra"))
+
+
+@query
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    return draw_sample(_pool(spark, d), table(spark, d, "metas_amostra"), "n")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return judgments(table(spark, d, "auditoria_perguntas"), "qid", "avaliador", "juiz_suficiente_s_parcial_n", "julgado_em", "recebido_em")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return Consensus(_judged(spark, d)).labels().selectExpr("item AS qid", "label AS rotulo")
+
+
+@query
+def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(Consensus(_judged(spark, d)).reliability(), "avaliador string, reliability double")
+
+
+@query
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return agreement(_judged(spark, d)).selectExpr("items", "judgments", "round(observed, 9) AS observed", "round(expected, 9) AS expected", "round(alpha, 9) AS alpha")
+
+
 def _cut(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     chunks = split_oversized(table(spark, d, "pdf_chunks"), "id", "text", "pdf_chunks", "extraido_em", with_text=with_text)
     return chunks.union(split_oversized(table(spark, d, "perguntas_lote01"), "n", "passagem_texto", "perguntas_lote01", "carregado_em", with_text=with_text))
@@ -64,3 +104,22 @@ def p8_hazards(spark: SparkSession, d: str) -> DataFrame:
 SQL["p5_found"] = """
 SELECT 'pdf_chunks' AS item_table, id AS item_key FROM pdf_chunks WHERE length(text) > 1200 GROUP BY id
 UNION ALL SELECT 'perguntas_lote01', CAST(n AS VARCHAR) FROM perguntas_lote01 WHERE length(passagem_texto) > 1200 GROUP BY n"""
+
+_FOLD = r"regexp_replace(lower({}), '[\s\x{{0085}}\x{{00a0}}\x{{00ad}}\x{{2000}}-\x{{200f}}\x{{2010}}-\x{{2015}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{2060}}\x{{2212}}\x{{3000}}\x{{feff}}_-]+', '', 'g')"
+SQL["p1_found"] = f"""
+WITH last AS (SELECT n, max(row(carregado_em, question_type, difficulty)) AS r FROM perguntas_factuais WHERE n IS NOT NULL GROUP BY n),
+counted AS (SELECT {_FOLD.format("r[2]")} AS t, {_FOLD.format("r[3]")} AS f, count(*) AS c FROM last GROUP BY ALL)
+SELECT m.question_type, m.difficulty FROM metas_amostra m
+LEFT JOIN counted ON t = {_FOLD.format("m.question_type")} AND f = {_FOLD.format("m.difficulty")}
+WHERE coalesce(c, 0) < greatest(min_rows, target_share * sample_size)"""
+_CLASS = "CASE WHEN l IN ('s','sim','si','yes','suficiente') THEN 'S' WHEN l IN ('parcial','parcialmente','parc','p','partial') THEN 'PARCIAL' WHEN l IN ('n','nao','no','insuficiente') THEN 'N' END"
+SQL["p3_agreement"] = f"""
+WITH read AS (SELECT qid, avaliador, julgado_em, recebido_em, regexp_replace(translate(lower(juiz_suficiente_s_parcial_n), 'áàâãäéêíóôõúüç', 'aaaaaeeiooouuc'), '[^a-z]+', '', 'g') AS l FROM auditoria_perguntas),
+valid AS (SELECT *, {_CLASS} AS label FROM read WHERE qid IS NOT NULL AND avaliador IS NOT NULL AND {_CLASS} IS NOT NULL),
+one AS (SELECT qid, avaliador, label FROM (SELECT *, row_number() OVER (PARTITION BY qid, avaliador ORDER BY julgado_em DESC NULLS LAST, recebido_em DESC NULLS LAST, label DESC) AS k FROM valid) WHERE k = 1),
+sizes AS (SELECT qid, label, count(*) AS n FROM one GROUP BY ALL),
+items AS (SELECT qid, sum(n) AS m, sum(n * n) AS sq FROM sizes GROUP BY qid HAVING sum(n) >= 2),
+obs AS (SELECT count(*) AS items, sum(m) AS judgments, sum((m * m - sq) / CAST(m - 1 AS DOUBLE)) AS apart FROM items),
+sh AS (SELECT sum(n) AS total, sum(n * n) AS squares FROM (SELECT label, sum(n) AS n FROM sizes JOIN items USING (qid) GROUP BY label)),
+r AS (SELECT items, CAST(judgments AS BIGINT) AS judgments, apart / judgments AS observed, (total * total - squares) / CAST(total * (total - 1) AS DOUBLE) AS expected FROM obs, sh)
+SELECT items, judgments, round(observed, 9) AS observed, round(expected, 9) AS expected, round(1 - observed / expected, 9) AS alpha FROM r"""
