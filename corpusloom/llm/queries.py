@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.allocation import allocation_report, draw_sample, latest
 from corpusloom.llm.consensus import Consensus, agreement, judgments
+from corpusloom.llm.language import label_documents, label_segments, latest_passages, train_on, wrong_labels
 from corpusloom.llm.leakage import find_leaks
 from corpusloom.llm.splitting import oversized_items, split_oversized
 from corpusloom.llm.tokenize import encode_corpus
@@ -61,6 +63,26 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return agreement(_judged(spark, d)).selectExpr("items", "judgments", "round(observed, 9) AS observed", "round(expected, 9) AS expected", "round(alpha, 9) AS alpha")
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    passages = latest_passages(table(spark, d, "perguntas_factuais"), "n", "passagem_texto", "source_lang", "carregado_em")
+    return label_segments(passages, train_on(passages))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(label_documents(_segments(spark, d))).selectExpr("key AS n", "lang")
+
+
+@query
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select(F.col("key").alias("n"), "segment", "start", "stop", "lang", "confidence")
+
+
+@query
+def p4_documents(spark: SparkSession, d: str) -> DataFrame:
+    return label_documents(_segments(spark, d)).select(F.col("key").alias("n"), "lang", "confidence")
+
+
 def _cut(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     chunks = split_oversized(table(spark, d, "pdf_chunks"), "id", "text", "pdf_chunks", "extraido_em", with_text=with_text)
     return chunks.union(split_oversized(table(spark, d, "perguntas_lote01"), "n", "passagem_texto", "perguntas_lote01", "carregado_em", with_text=with_text))
