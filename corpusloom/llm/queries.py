@@ -11,6 +11,8 @@ from corpusloom.llm.allocation import allocation_report, draw_sample, latest
 from corpusloom.llm.consensus import Consensus, agreement, judgments
 from corpusloom.llm.language import label_documents, label_segments, latest_passages, train_on, wrong_labels
 from corpusloom.llm.leakage import find_leaks
+from corpusloom.llm.pairs import defective_pairs, prepare
+from corpusloom.llm.pairs import train_on as train_pairs
 from corpusloom.llm.splitting import oversized_items, split_oversized
 from corpusloom.llm.tokenize import encode_corpus
 from corpusloom.llm.truncation import length_hazards, lengths_of, truncated_texts, truncation_by_source
@@ -44,6 +46,12 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return draw_sample(_pool(spark, d), table(spark, d, "metas_amostra"), "n")
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    prepared = prepare(table(spark, d, "perguntas_lote01"), "n", "question", "answer", "carregado_em")
+    return defective_pairs(prepared, train_pairs(prepared)).selectExpr("key AS n", "defect")
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return judgments(table(spark, d, "auditoria_perguntas"), "qid", "avaliador", "juiz_suficiente_s_parcial_n", "julgado_em", "recebido_em")
 
