@@ -1,17 +1,10 @@
-"""Registry of the queries on the reference tables: name -> (spark, directory) -> DataFrame, with their SQL."""
+"""All queries on the reference's operators: name -> (spark, directory) -> DataFrame, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import cleaning_queries, text_queries
+from corpusloom.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["QUERIES", "SQL", "flagship", "cleaning_queries", "text_queries"]
 
-from corpusloom.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
+flagship = QUERIES["t_embedding_text"]
