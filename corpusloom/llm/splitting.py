@@ -37,6 +37,8 @@ BOUNDARIES = {
 #: Before a number these end no sentence.
 ABBREVIATION = re.compile(r"(?:\b(?:art|arts|inc|núm|num|n|no|nos|fl|fls|p|pp|cf|vol|sr|sra|dr|dra)|n\.º)\.\s+$", re.I)
 BATCH_ROWS = 500
+#: The joiner of emoji and the mark that chooses a form.
+JOINERS = "\u200d\ufe0f"
 
 
 def _bounds(text: str, start: int, end: int, strength: int) -> list[int]:
@@ -51,7 +53,7 @@ def _bounds(text: str, start: int, end: int, strength: int) -> list[int]:
 def _hard(text: str, at: int, floor: int) -> int:
     """at, or the next place before it that splits no combining sequence, if there is one after floor."""
     spot = at
-    while spot > floor + 1 and (unicodedata.combining(text[spot]) or text[spot] in "‍️" or text[spot - 1] == "‍"):
+    while spot > floor + 1 and (unicodedata.combining(text[spot]) or text[spot] in JOINERS or text[spot - 1] == JOINERS[0]):
         spot -= 1
     return spot if spot > floor + 1 else at
 
@@ -116,7 +118,9 @@ def overlap_start(text: str, previous: int, own: int, overlap: int) -> int:
         found = [f for f in found if low <= f < own]
         if found:
             return found[0]
-    return _hard(text, low, max(previous - 1, -1)) if low else low
+    while low < own and low and (unicodedata.combining(text[low]) or text[low] in JOINERS or text[low - 1] == JOINERS[0]):
+        low += 1
+    return low
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
