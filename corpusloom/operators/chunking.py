@@ -92,7 +92,7 @@ def merge_small(parts: Column, least: int = LEAST, glue: str = "\n") -> Column:
 def legal_units(text: Column, least_articles: int = 5) -> Column:
     """Cuts before each article if there are at least so many, else null."""
     marker = r"(?m)^[ \t]*(?:Art\.|Artigo|Article|Artículo) *[0-9]+"
-    units = F.filter(F.transform(F.split(F.regexp_replace(text, f"({marker})", "\x01$1"), "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+    units = F.filter(F.transform(F.split(F.regexp_replace(text, f"({marker})", "\x01$1"), "\x01"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
     return F.when(F.regexp_count(text, F.lit(marker)) >= least_articles, units)
 
 

@@ -73,7 +73,7 @@ _ART = r"(?m)^[ \t]*(?:Art\.|Artigo|Article|Artículo) *[0-9]+"
 
 
 @query(
-    rf"""WITH u AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '({_ART})', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS units FROM documents WHERE len(regexp_extract_all(text, '{_ART}')) >= 5)
+    rf"""WITH u AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '({_ART})', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS units FROM documents WHERE len(regexp_extract_all(text, '{_ART}')) >= 5)
 SELECT doc_id, generate_subscripts(units, 1) - 1 AS k, unnest(units) AS unit FROM u"""
 )
 def g_legal_units(spark: SparkSession, d: str) -> DataFrame:

@@ -1 +1 @@
-"""See README for the contents of this subpackage."""
+"""Readers of the formats the pipeline exchanges, with the checks each one makes."""
