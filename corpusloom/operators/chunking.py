@@ -13,16 +13,21 @@ SIZE, OVERLAP, LEAST = 1_200, 200, 300
 SEPARATORS = ["\n\n", "\n", ". ", "; ", ", ", " "]
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold_windows(text: Column, cut: Callable[[Column, Column], Column], follow: Callable[[Column, Column], Column], steps: Column) -> Column:
     """Spans (start, end) in code points: cut gives each window's end, follow the next start."""
     n = F.length(text)
     empty = F.array().cast("array<struct<start:int,stop:int>>")
 
     def step(state: Column, _: Column) -> Column:
-        end = cut(text, state["at"])
-        return F.when(state["at"] >= n, state).otherwise(
-            F.struct(F.when(end >= n, n).otherwise(follow(state["at"], end)).cast("int").alias("at"), F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), end.cast("int").alias("stop")))).alias("spans"))
-        )
+        def close(end: Column) -> Column:
+            return F.struct(F.when(end >= n, n).otherwise(follow(state["at"], end)).cast("int").alias("at"), F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), end.cast("int").alias("stop")))).alias("spans"))
+
+        return F.when(state["at"] >= n, state).otherwise(bind(cut(text, state["at"]), close))
 
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(steps.cast("int"), F.lit(1))), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
     return F.when(n > 0, folded["spans"]).otherwise(empty)
@@ -34,10 +39,8 @@ def sliding_cut(size: int, overlap: int, least: int) -> Callable[[Column, Column
     def cut(text: Column, start: Column) -> Column:
         raw = start + size
         low = F.greatest(start + least, raw - overlap)
-        back = F.reverse(F.substring(text, low + 1, raw - low))
-        mark = F.regexp_instr(back, F.lit(" [.;:?!]"))
-        blank = F.instr(back, " ")
-        return F.when(raw >= F.length(text), F.length(text)).when(mark > 0, raw - mark).when(blank > 0, raw - blank).otherwise(raw)
+        inside = lambda back: F.coalesce(F.nullif(F.regexp_instr(back, F.lit(" [.;:?!]")), F.lit(0)), F.nullif(F.instr(back, " "), F.lit(0)), F.lit(0))
+        return F.when(raw >= F.length(text), F.length(text)).otherwise(raw - bind(F.reverse(F.substring(text, low + 1, raw - low)), inside))
 
     return cut
 
@@ -54,10 +57,13 @@ def sliding_spans(text: Column, size: int = SIZE, overlap: int = OVERLAP, least:
 def sliding_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Chunk texts; a last chunk under `least` joins the one before, with its overlap."""
     parts = F.transform(sliding_spans(text, size, overlap, least), lambda s: F.trim(F.substring(text, s["start"] + 1, s["stop"] - s["start"])))
-    k = F.size(parts)
-    last, before = F.element_at(parts, -1), F.element_at(parts, -2)
-    merged = F.concat(F.slice(parts, F.lit(1), F.greatest(k - 2, F.lit(0))), F.array(F.trim(F.concat(before, F.lit(" "), last))))
-    return F.when((k >= 2) & (F.length(last) < least), merged).otherwise(parts)
+
+    def join_tail(p: Column) -> Column:
+        k, last = F.size(p), F.element_at(p, -1)
+        merged = F.concat(F.slice(p, F.lit(1), F.greatest(k - 2, F.lit(0))), F.array(F.trim(F.concat(F.element_at(p, -2), F.lit(" "), last))))
+        return F.when((k >= 2) & (F.length(last) < least), merged).otherwise(p)
+
+    return bind(parts, join_tail)
 
 
 def separator_spans(text: Column, size: int = 1_000, overlap: int = 200, separators: list[str] | None = None) -> Column:
@@ -65,12 +71,11 @@ def separator_spans(text: Column, size: int = 1_000, overlap: int = 200, separat
 
     def cut(t: Column, start: Column) -> Column:
         raw = start + size
-        half = F.reverse(F.substring(t, start + size // 2 + 1, size - size // 2))
-        end = raw
-        for sep in reversed(separators or SEPARATORS):
-            spot = F.instr(half, sep[::-1])
-            end = F.when(spot > 0, raw - spot + 1).otherwise(end)
-        return F.when(raw >= F.length(t), F.length(t)).otherwise(end)
+
+        def strongest(half: Column) -> Column:
+            return F.coalesce(*[F.nullif(F.instr(half, sep[::-1]), F.lit(0)) for sep in separators or SEPARATORS], F.lit(1))
+
+        return F.when(raw >= F.length(t), F.length(t)).otherwise(raw + 1 - bind(F.reverse(F.substring(t, start + size // 2 + 1, size - size // 2)), strongest))
 
     follow = lambda start, end: F.greatest(end - overlap, start + 1)
     return fold_windows(text, cut, follow, F.length(text) / max(1, size // 2 - overlap) + 2)
@@ -107,11 +112,11 @@ def rejoin(parts: Column, least: int = 21, most: int = 400) -> Column:
     """One text from overlapping parts: the longest end of the text so far that begins the next part is written once."""
 
     def add(done: Column, x: Column) -> Column:
-        ends = F.array(F.struct(F.right(done, F.lit(most)).alias("end"), F.left(x, F.lit(most)).alias("begin")))
+        ends = F.struct(F.right(done, F.lit(most)).alias("end"), F.left(x, F.lit(most)).alias("begin"))
         fits = lambda e, n: (n <= F.length(e["end"])) & (n <= F.length(e["begin"])) & (F.right(e["end"], n) == F.left(e["begin"], n))
-        best = F.transform(ends, lambda e: F.array_max(F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: fits(e, n))))
-        shared = F.coalesce(best[0], F.lit(0))
-        return F.when(done == "", x).when(shared > 0, F.concat(done, F.substring(x, shared + 1, F.length(x)))).otherwise(F.concat(done, F.lit("\n"), x))
+        shared = bind(ends, lambda e: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: fits(e, n))), F.lit(0)))
+        glued = bind(shared, lambda k: F.when(k > 0, F.concat(done, F.substring(x, k + 1, F.length(x)))).otherwise(F.concat(done, F.lit("\n"), x)))
+        return F.when(done == "", x).otherwise(glued)
 
     return F.aggregate(parts, F.lit(""), add)
 
@@ -142,9 +147,10 @@ def semantic_breaks(sentences: DataFrame, share: float = 0.25, least: int = 300,
 def neutral_windows(rows: DataFrame, key: str, text: str, target: int = 2_600, seed: str = "0") -> DataFrame:
     """Columns (key, start, stop): windows of about `target` characters from a seeded offset, moved to the nearest sentence ends."""
     base = rows.select(F.col(key).alias("key"), collapse(F.col(text)).alias("t")).filter(F.length("t") > target)
-    ends = F.transform(F.filter(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)).isin(". ", "! ", "? ")), lambda i: i + 1)
+    pieces = F.split(F.regexp_replace("t", r"([.!?]) ", "$1 \x01"), "\x01")
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.length(x))))
     offset = F.conv(F.left(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col("key").cast("string"))), F.lit(7)), 16, 10).cast("long") % F.lit(target)
-    planned = base.withColumn("ends", F.concat(F.array(F.lit(0)), ends, F.array(F.length("t")))).withColumn("plan", F.explode(F.sequence(offset, F.length("t").cast("long"), F.lit(target).cast("long"))))
+    planned = base.withColumn("ends", ends).withColumn("plan", F.explode(F.sequence(offset, F.length("t").cast("long"), F.lit(target).cast("long"))))
     near = lambda x: F.array_min(F.transform("ends", lambda e: F.struct(F.abs(e - x).cast("long").alias("far"), e.cast("long").alias("at"))))["at"]
     spans = planned.select("key", near(F.col("plan")).alias("start"), near(F.least(F.col("plan") + target, F.length("t").cast("long"))).alias("stop"))
     return spans.filter("stop > start").distinct()

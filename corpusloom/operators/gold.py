@@ -13,8 +13,8 @@ LONG_GRAM, SHORT_GRAM = 8, 3
 
 
 def _grams(t: DataFrame, n: int) -> DataFrame:
-    w = F.split("t", " ")
-    return t.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("gram"))
+    w = F.col("w")
+    return t.select("text_id", F.split("t", " ").alias("w")).select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("gram"))
 
 
 def containment(quotes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -14,11 +14,14 @@ def postings(tokens: DataFrame) -> DataFrame:
     return sized.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def term_statistics(post: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Columns (term, df, idf): ln((N - df + 0.5) / (df + 0.5)), negatives replaced by FLOOR times the mean idf of all terms."""
+def term_statistics(tokens: DataFrame) -> DataFrame:
+    """Columns (term, df, idf): ln((N - df + 0.5) / (df + 0.5)), negatives replaced by FLOOR times the mean idf of all terms.
+
+    Document frequencies count each document's distinct terms where it lies; only terms and counts are shuffled.
+    """
     total = tokens.agg(F.count("*").alias("n"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counts = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = counts.join(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * FLOOR).otherwise(F.col("raw")).alias("idf"))  # one row
 
@@ -26,13 +29,14 @@ def term_statistics(post: DataFrame, tokens: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, tokens: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Columns (qid, id, score, rank): the k best documents of each query (qid, tokens array); ties by id.
 
-    Query terms meet postings by an equi-join on the term; a term as common as a third of the documents is
-    spread by adaptive skew handling, and scores are summed before the ranking shuffle.
+    Only tokens that some query asks for are counted and shuffled; a term as common as a third of the
+    documents is spread by adaptive skew handling, and scores are summed before the ranking shuffle.
     """
-    post = postings(tokens)
     average = tokens.agg(F.avg(F.size("tokens")).alias("average"))
-    wanted = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).join(term_statistics(post, tokens), "term")
-    hits = post.join(wanted, "term").join(F.broadcast(average))  # one row
+    asked = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
+    found = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    post = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    hits = post.join(asked.join(term_statistics(tokens), "term"), "term").join(F.broadcast(average))  # one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k)

@@ -138,8 +138,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def r_term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    t = _tokens(spark, d)
-    return L.term_statistics(L.postings(t), t).withColumn("idf", F.round("idf", 6))
+    return L.term_statistics(_tokens(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_BM25} SELECT qid, id, score, rank FROM bm WHERE rank <= 10")
