@@ -72,8 +72,10 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    passages = latest_passages(table(spark, d, "perguntas_factuais"), "n", "passagem_texto", "source_lang", "carregado_em")
-    return label_segments(passages, train_on(passages))
+    rows = table(spark, d, "perguntas_factuais")
+    passages = latest_passages(rows, "n", "passagem_texto", "source_lang", "carregado_em")
+    # Any delivery will do to learn from; only the labelling needs the latest.
+    return label_segments(passages, train_on(rows.select(F.col("passagem_texto").alias("text"), F.col("source_lang").alias("label"))))
 
 
 @query
