@@ -44,7 +44,7 @@ CLOSED_LINES = [
     regex.compile(rf"(?:^|[\s,(])(?:\d{{1,2}}º?(?:\s+de)?\s+(?i:{MONTHS})(?:\s+de)?\s+\d{{4}}|\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}})$"),
     regex.compile(r"^(?i:processo|process|expediente|file|protocolo|protocol|ofício|oficio|docket|case|autos|ref)\b[^.]{0,12}(?:n\.?\s*[ºo°]\.?|no\.?|n\.|:)?\s*[\d.-]+/\d{4}$"),
     regex.compile(r"^(?i:vers[aã]o|version|versión|revis[aã]o|revision|revisión)\s+\d+(?:\.\d+)*$"),
-    regex.compile(r"^(?:(?i:anexo|annex|appendix|apêndice|apéndice|capítulo|chapter|seção|section|sección|título|title|parte|part)\s+(?:[IVXLC]+|\d+|[A-Z]|única|único)|\p{Lu}[\p{Lu}\p{N}\s,–-]{3,80})$"),
+    regex.compile(r"^(?:(?i:anexo|annex|appendix|apêndice|apéndice|capítulo|chapter|seção|section|sección|título|title|parte|part)\s+(?:[IVXLC]+|\d+|[A-Z]|única|único)|\p{Lu}{2}[\p{Lu}\p{N}\s,–-]{4,80})$"),
     regex.compile(r"\|\s*[+-]?[\d.,]+\s*%?$"),
 ]
 OPEN_LINES = regex.compile(r"^\s*[-•*–—▪·]\s+\S|;[^;]*;|\||^(?i:palavras-chave|keywords|palabras clave)\b|^(?i:relatoria|relatora?|signed|firma|firmado|assinado|assinatura|assina|fdo|rapporteur|ponente)\b[^:]{0,20}:\s*\S")

@@ -16,6 +16,8 @@ from corpusloom.llm.truncation import judge_line, last_line, length_hazards, len
         ("a | b | 10,5%", "end"),
         ("x; y; z", "line"),
         ("Anexo XII", "end"),
+        ("DISPOSIÇÕES FINAIS", "end"),
+        ("I - Q", "fragment"),
         ("Vila Norte, 5 de maio de 2015", "end"),
         ("28 January 2002", "end"),
         ("Processo nº 67173/2007", "end"),
