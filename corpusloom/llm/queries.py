@@ -16,7 +16,7 @@ from corpusloom.llm.pairs import train_on as train_pairs
 from corpusloom.llm.splitting import oversized_items, split_oversized
 from corpusloom.llm.tokenize import encode_corpus
 from corpusloom.llm.truncation import length_hazards, lengths_of, truncated_texts, truncation_by_source
-from corpusloom.session import table
+from corpusloom.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,8 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    prepared = prepare(table(spark, d, "perguntas_lote01"), "n", "question", "answer", "carregado_em")
+    # Used twice, to learn from and to judge: kept in the shared folder.
+    prepared = cut_lineage(prepare(table(spark, d, "perguntas_lote01"), "n", "question", "answer", "carregado_em"))
     return defective_pairs(prepared, train_pairs(prepared)).selectExpr("key AS n", "defect")
 
 
