@@ -182,7 +182,7 @@ def a_ordinal_alpha(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {SCORES}, n AS (SELECT a, b, count(*) AS n, avg(CASE WHEN x = y THEN 1.0 ELSE 0 END) AS po FROM prs GROUP BY ALL), e AS (SELECT l.a, l.b, sum(l.n * r.n) AS e FROM (SELECT a, b, x, count(*) AS n FROM prs GROUP BY ALL) l JOIN (SELECT a, b, y, count(*) AS n FROM prs GROUP BY ALL) r ON l.a = r.a AND l.b = r.b AND x = y GROUP BY ALL),
-k AS (SELECT a, b, n, (po - coalesce(e, 0) / CAST(n * n AS DOUBLE)) / (1 - coalesce(e, 0) / CAST(n * n AS DOUBLE)) AS kappa FROM n LEFT JOIN e USING (a, b)) SELECT a, b, n, round(kappa, 6) AS kappa, CASE WHEN kappa < 0.2 THEN 'poor' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'good' ELSE 'very good' END AS word FROM k"""
+k AS (SELECT a, b, n, CASE WHEN coalesce(e, 0) < n * n THEN (po - coalesce(e, 0) / CAST(n * n AS DOUBLE)) / (1 - coalesce(e, 0) / CAST(n * n AS DOUBLE)) ELSE 1 END AS kappa FROM n LEFT JOIN e USING (a, b)) SELECT a, b, n, round(kappa, 6) AS kappa, CASE WHEN kappa < 0.2 THEN 'poor' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'good' ELSE 'very good' END AS word FROM k"""
 )
 def a_nominal_kappa(spark: SparkSession, d: str) -> DataFrame:
     return _six(A.nominal_kappa(scores(spark, d)))

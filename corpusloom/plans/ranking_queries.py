@@ -299,10 +299,10 @@ def m_dispersion(spark: SparkSession, d: str) -> DataFrame:
     return M.dispersion(groups(spark, d), vectors(spark, d).select("id", F.floor(F.col("id") / 10).alias("position")))
 
 
-@query(f"""WITH {LISTS} SELECT system, qid, max(score) FILTER (rank = 1) AS top1, round(avg(score) FILTER (rank <= 5), 4) AS mean5, round(stddev_pop(score) FILTER (rank <= 5), 4) AS spread5, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 4) AS gap12, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 10), 4) AS drop10, count(DISTINCT document) FILTER (rank <= 5) AS documents5 FROM lists GROUP BY ALL""")
+@query(f"""WITH {LISTS} SELECT system, qid, max(score) FILTER (rank = 1) AS top1, round(sum(score) FILTER (rank <= 5), 6) AS sum5, round(stddev_pop(score) FILTER (rank <= 5), 4) AS spread5, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS gap12, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 10), 6) AS drop10, count(DISTINCT document) FILTER (rank <= 5) AS documents5 FROM lists GROUP BY ALL""")
 def m_failure_features(spark: SparkSession, d: str) -> DataFrame:
     f = M.failure_features(lists(spark, d))
-    return f.select("system", "qid", "top1", *[F.round(c, 4).alias(c) for c in ("mean5", "spread5", "gap12", "drop10")], "documents5")
+    return f.select("system", "qid", "top1", F.round(5 * F.col("mean5"), 6).alias("sum5"), F.round("spread5", 4).alias("spread5"), *[F.round(c, 6).alias(c) for c in ("gap12", "drop10")], "documents5")
 
 
 @query(f"WITH {LISTS}, {QRELS}, {_GROUPS} SELECT s.system, g.qid, group_no, min(rank) AS best FROM (SELECT DISTINCT system FROM lists) s CROSS JOIN grp g LEFT JOIN lists l USING (system, qid, id) GROUP BY ALL")
