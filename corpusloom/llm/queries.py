@@ -131,7 +131,8 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p8_hazards(spark: SparkSession, d: str) -> DataFrame:
-    return length_hazards(lengths_of(table(spark, d, "documents")))
+    h = length_hazards(lengths_of(table(spark, d, "documents")))
+    return h.select("source", "unit", F.col("length").cast("long").alias("length"), "texts", "at_risk", F.round("hazard", 6).alias("hazard"), F.round("near_hazard", 6).alias("near_hazard"), "significant")
 
 
 SQL["p5_found"] = """
@@ -156,3 +157,19 @@ obs AS (SELECT count(*) AS items, sum(m) AS judgments, sum((m * m - sq) / CAST(m
 sh AS (SELECT sum(n) AS total, sum(n * n) AS squares FROM (SELECT label, sum(n) AS n FROM sizes JOIN items USING (qid) GROUP BY label)),
 r AS (SELECT items, CAST(judgments AS BIGINT) AS judgments, apart / judgments AS observed, (total * total - squares) / CAST(total * (total - 1) AS DOUBLE) AS expected FROM obs, sh)
 SELECT items, judgments, round(observed, 9) AS observed, round(expected, 9) AS expected, round(1 - observed / expected, 9) AS alpha FROM r"""
+
+_WORDS = r"regexp_extract_all(regexp_replace(regexp_replace(lower(strip_accents(text)), '([\p{L}\p{N}_])[-\x{2010}\x{2011}\x{ad}\x{ac}][ \t\x{200b}]*(?:\r\n?|\n)\s*([\p{L}\p{N}_])', '\1\2', 'g'), '[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}\x{300}-\x{36f}]', '', 'g'), '[\p{L}\p{N}]+')"
+_GRAMS = "SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL)"
+SQL["p7_found"] = f"""
+WITH docs AS ({_GRAMS.format(key="doc_id", words=_WORDS, table="documents")}), items AS ({_GRAMS.format(key="item_id", words=_WORDS, table="itens_avaliacao")})
+SELECT DISTINCT doc_id, item_id FROM docs JOIN items USING (gram)"""
+SQL["p8_hazards"] = """
+WITH l AS (SELECT source, 'chars' AS unit, length(text) AS length FROM documents WHERE length(text) > 0 UNION ALL SELECT source, 'bytes', strlen(text) FROM documents WHERE length(text) > 0),
+c AS (SELECT source, unit, length, count(*) AS texts FROM l GROUP BY ALL),
+r AS (SELECT *, sum(texts) OVER (PARTITION BY source, unit ORDER BY length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk,
+sum(texts) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 150 PRECEDING AND 150 FOLLOWING) - sum(texts) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS near FROM c),
+e AS (SELECT *, (near + 1) / CAST(greatest(least(length, 150) + 151 - 25, 1) AS DOUBLE) AS expected FROM r),
+t AS (SELECT *, CASE WHEN texts > expected THEN exp(texts - expected - texts * ln(texts / expected)) ELSE 1.0 END AS p FROM e),
+k AS (SELECT *, p * count(*) OVER (PARTITION BY source, unit) / (count(*) OVER (PARTITION BY source, unit) - row_number() OVER (PARTITION BY source, unit ORDER BY p DESC, length) + 1) AS raw, row_number() OVER (PARTITION BY source, unit ORDER BY p DESC, length) AS place FROM t),
+f AS (SELECT *, min(raw) OVER (PARTITION BY source, unit ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM k)
+SELECT source, unit, length, texts, CAST(at_risk AS BIGINT) AS at_risk, round(texts / CAST(at_risk AS DOUBLE), 6) AS hazard, round(expected / at_risk, 6) AS near_hazard, q <= 0.01 AND texts >= 3 AS significant FROM f"""
