@@ -32,9 +32,11 @@ NAMES = {
     "mixed": ["mixed", "mix", "misto", "mixto", "mul", "multi", "multiple", "varios", "multilingual"],
 }
 TRAIN_PASSAGES = 300
-WIDTH, SPAN, STEPS, BATCH = 24, 80, 160, 96
+WIDTH, SPAN, STEPS, BATCH = 24, 80, 200, 96
 WINDOW, CONTEXT, AT_ONCE = 128, 16, 1_024
 MIN_WORDS, MIN_LETTERS = 4, 18
+#: By how much a byte, on average, another language must be likelier than the text's own for a sentence to leave it.
+MARGIN = 1.2
 SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+(?!\d)|[\r\n]+")
 QUOTED = re.compile(r"“[^”]{1,200}”|\"[^\"]{1,200}\"|«[^»]{1,200}»|‘[^’]{1,200}’")
 WORD = re.compile(r"[^\W\d_]+")
@@ -239,8 +241,11 @@ def segments(net: ByteNetwork, texts: list[str]) -> list[list[tuple[int, int, in
         elif units:
             units = [[0, len(text), np.sum([u[2] for u in units], axis=0), sum(u[3] for u in units), True]]
         found: list[list] = []
+        own = int(np.argmax(np.sum([u[2] for u in units], axis=0))) if units else 0
         for a, b, pooled, n, enough in units:
             lang = int(np.argmax(pooled))
+            if pooled[lang] - pooled[own] < MARGIN * n:
+                lang = own
             if found and found[-1][2] == lang:
                 found[-1][1], found[-1][3], found[-1][4], found[-1][5] = b, found[-1][3] + pooled, found[-1][4] + n, found[-1][5] or enough
             else:
