@@ -35,7 +35,7 @@ NOT_BLANK = r"[^\s\u00a0\u00ad\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\
 # The forms of endings in Portuguese, English and Spanish.
 OMISSION = regex.compile(r"(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|\.{3,}|…|�+|[\[(](?i:trunca\p{L}*|cortad[oa]|texto trunca\p{L}*|continua|continued|continúa)[^\])]*[\])]|(?i:leia mais|ler mais|read more|leer más))$")
 CLOSED_OMISSION = regex.compile(r"(?i)(?:\betc|sucess?ivamente|assim por diante|and so on|and so forth)\s*(?:\.{3,}|…)$")
-TERMINAL = regex.compile(r"[.!?:。][)\]\"'”’»*_]*$")
+TERMINAL = regex.compile(r"[.!?。][)\]\"'”’»*_]*$")
 ABBREVIATED = regex.compile(r"(?:^|[\s(])(?:[Aa]rt|[Aa]rts|[Ii]nc|[Nn]úm|[Ff]ls|n\.º)\.$")
 ARTICLE_ALONE = regex.compile(r"^(?:(?i:art(?:igo|ículo|icle)?)\.?\s*\d+\s*[.ºo°]?\.?|§\s*\d+\s*[.ºo°]?\.?|[IVXLC]+\s*[-–]?|[a-z]\)|\(?\d+[.)])$")
 MONTHS = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|enero|febrero|marzo|mayo|junio|julio|septiembre|setiembre|octubre|noviembre|diciembre|january|february|march|april|may|june|july|august|september|october|november|december"

@@ -26,6 +26,7 @@ from corpusloom.llm.truncation import judge_line, last_line, length_hazards, len
         ("Versão 6.14", "end"),
         ("Relatoria: o paciente", "line"),
         ("Art. 23.", "fragment"),
+        ("Um exemplo ajuda:", "fragment"),
         ("ressalvado o disposto no art.", "fragment"),
         ("sujeito ao art. 5. [12]", "end"),
     ],
