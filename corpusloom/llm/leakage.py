@@ -103,8 +103,8 @@ def find_leaks(
         raise ValueError("gram must be from 1 to span")
     side = span - gram
     tests = fingerprints(items, item_key, item_text, gram, span).select(F.col("key").alias("item"), "gram", F.col("around").alias("item_around")).dropDuplicates(["item", "gram", "item_around"])
-    first = [r[0] for r in tests.select("gram").distinct().limit(FILTER_LIMIT + 1).collect()]
-    only = np.array(first, dtype=np.int64).view(np.uint64) if len(first) <= FILTER_LIMIT else None
+    first = [r[0] for r in tests.select("gram").limit(FILTER_LIMIT + 1).collect()]
+    only = np.unique(np.array(first, dtype=np.int64).view(np.uint64)) if len(first) <= FILTER_LIMIT else None
     hits = fingerprints(corpus, doc_key, doc_text, gram, span, only)
     joined = hits.join(F.broadcast(tests) if only is not None else tests, "gram")
     before = _agreeing(F.col("around"), F.col("item_around"), list(range(side - 1, -1, -1)))
