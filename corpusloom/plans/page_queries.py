@@ -23,19 +23,18 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "url", page.alias("html"))
 
 
-_DOC = f"dx AS (SELECT doc_id, coalesce(nullif({collapse_sql('title')}, ''), '(sem título)') AS title, trim({collapse_sql('coalesce(text, chr(32))')} || ' anexo Legenda') AS text FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0e-\\x1f&]'))"
+_DOC = f"dx AS (SELECT doc_id, coalesce(nullif({collapse_sql('title')}, ''), '(sem título)') AS title, trim({collapse_sql('coalesce(text, chr(32))')} || ' anexo Legenda') AS text FROM documents)"
 
 
 @query(f"WITH {_DOC} SELECT doc_id, title, text, 1 AS links, 'Legenda' AS caption FROM dx")
 def h_read_pages(spark: SparkSession, d: str) -> DataFrame:
     r = H.read_pages(_pages(spark, d), "doc_id", "html")
-    plain = table(spark, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[\x00-\x08\x0e-\x1f&]")).select("doc_id")
-    return r.join(plain, "doc_id").select("doc_id", "title", "text", F.size("raw_links").alias("links"), F.col("figures")[0]["caption"].alias("caption"))
+    return r.select("doc_id", "title", "text", F.size("raw_links").alias("links"), F.col("figures")[0]["caption"].alias("caption"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_extract(url, '^([^?#]*/)', 1), '^([A-Za-z]+)', '\\1') || 'anexo.pdf' AS links FROM documents WHERE url LIKE 'http%/%/%/%' AND url NOT LIKE '%#%' AND url NOT LIKE '%?%'")
+@query("SELECT doc_id, regexp_replace(regexp_extract(url, '^([^?#]*/)', 1), '^([A-Za-z]+)', '\\1') || 'anexo.pdf' AS links FROM documents WHERE url IS NOT NULL")
 def h_links(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).filter("url LIKE 'http%/%/%/%' AND url NOT LIKE '%#%' AND url NOT LIKE '%?%'")
+    p = _pages(spark, d).filter("url IS NOT NULL")
     r = H.read_pages(p, "doc_id", "html").join(p.select("doc_id", "url"), "doc_id")
     return r.select("doc_id", F.array_join(H.links_of(F.col("url"), F.col("raw_links")), " ").alias("links"))
 

@@ -242,10 +242,10 @@ def u_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, {_SCHEME.format(u='url')} || '://' || {_HOST.format(u='url')} || coalesce(nullif(regexp_replace({_PATH.format(u='url')}, '[^/]*$', ''), ''), '/') || 'anexo.pdf' AS relative,
-{_SCHEME.format(u='url')} || '://' || {_HOST.format(u='url')} || '/raiz?q=1' AS rooted, url || '#!/parte' AS kept, TRUE AS is_file, TRUE AS same FROM documents WHERE url IS NOT NULL AND url NOT LIKE '%#%' AND url LIKE 'http%'"""
+{_SCHEME.format(u='url')} || '://' || {_HOST.format(u='url')} || '/raiz?q=1' AS rooted, url || '#!/parte' AS kept, TRUE AS is_file, TRUE AS same FROM documents WHERE url IS NOT NULL"""
 )
 def u_links(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("url IS NOT NULL AND url NOT LIKE '%#%' AND url LIKE 'http%'")
+    docs = table(spark, d, "documents").filter("url IS NOT NULL")
     u = F.col("url")
     relative = U.resolve_link(u, F.lit("./anexo.pdf#p2"))
     return docs.select(
