@@ -28,8 +28,12 @@ def code_point_table() -> np.ndarray:
     """For every code point its folded letter or digit, SEPARATOR, DROPPED, or SEVERAL if it folds to many."""
     if not _TABLE:
         table = np.zeros(0x110000, dtype=np.int32)
-        for cp in range(0x110000):
-            if 0xD800 <= cp < 0xE000 or 0x3400 <= cp < 0x4DC0 or 0x4E00 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7B0 or cp >= 0x20000:
+        # Ideographs and syllables fold to themselves; beyond them there are only private and unassigned ones.
+        plain = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7B0), (0x20000, 0x32000))
+        for low, high in plain:
+            table[low:high] = np.arange(low, high)
+        for cp in (c for a, b in zip((0, *(h for _, h in plain[:-1])), (low for low, _ in plain)) for c in range(a, b)):
+            if 0xD800 <= cp < 0xE000:
                 continue
             char = chr(cp)
             kind = unicodedata.category(char)
@@ -41,13 +45,12 @@ def code_point_table() -> np.ndarray:
                     table[cp] = ord(folded)
                 elif len(folded) > 1:
                     table[cp] = SEVERAL
-        for low, high in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7B0), (0x20000, 0x32000)):
-            table[low:high] = np.arange(low, high)
         _TABLE.append(table)
     return _TABLE[0]
 
 
 def _powers(n: int) -> np.ndarray:
+    """At least n powers of the base of word hashes."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(1024, 2 * n)
         with np.errstate(over="ignore"):
