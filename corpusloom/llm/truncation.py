@@ -193,11 +193,13 @@ def truncated_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     at = judged.join(limits, judged["source"].eqNullSafe(limits["source"]), "left").select(
         judged["*"], F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False)).alias("at_limit")
     )
-    lines = at.filter("form = 'line'").join(closing_words(docs, "text"), "word", "left")
+    # One pass over the texts: endings that need no count meet no word, each spread by a key of its own.
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("key"), F.lit(100_000)).cast("string"))
+    known = at.withColumn("word", F.when((F.col("form") == "line") & (F.col("word") != ""), F.col("word")).otherwise(spread)).join(closing_words(docs, "text"), "word", "left")
     share = F.coalesce(F.col("closing") / F.col("places"), F.lit(0.0))
     # A word met in no other place is a fragment of one at a limit; elsewhere it may as well be rare.
     open_line = F.when(F.col("at_limit"), share < CLOSING_WEAK).otherwise((share < CLOSING_STRONG) & ((F.col("places") >= 20) | F.col("places").isNull()))
-    found = at.filter("form <> 'line'").select("key", "source", "chars", "form", "at_limit").union(lines.filter(open_line & (F.col("word") != "")).select("key", "source", "chars", "form", "at_limit"))
+    found = known.filter((F.col("form") != "line") | (open_line & ~F.col("word").startswith("\x00")))
     return found.select(F.col("key").alias(key), "source", "chars", F.col("form").alias("evidence"), "at_limit")
 
 
