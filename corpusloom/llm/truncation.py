@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import SEPARATOR, code_point_table
+from corpusloom.llm.words import SEPARATOR, code_point_table, mix, powers
 
 NEAR, WIDE = 12, 150
 FALSE_DISCOVERIES = 0.01
@@ -106,15 +106,17 @@ def closing_words(texts: DataFrame, text: str) -> DataFrame:
                 follow = np.minimum(ends + 1, len(points) - 1)
                 closes |= (points[np.minimum(ends, len(points) - 1)] == 32) & ((points[follow] == ord("|")) | (points[follow] == ord("—")) | (points[follow] == ord("\n")))
                 keep = ~last & (ends - starts <= 40)
-                starts, ends, closes = starts[keep], ends[keep], closes[keep]
-                words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-                for w, c in zip(words, closes.tolist()):
-                    t = totals.get(w)
-                    if t is None:
-                        totals[w] = [1, int(c)]
-                    else:
-                        t[0] += 1
-                        t[1] += c
+                # Words are told apart by 64-bit hashes; only one of each is cut out of the text.
+                letters = np.flatnonzero(inside)
+                terms = points[letters].astype(np.uint64) * powers(int((ends - starts).max()))[letters - np.repeat(starts, ends - starts)]
+                hashes = mix(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(ends - starts)[:-1]])))
+                _, first, group = np.unique(hashes[keep], return_index=True, return_inverse=True)
+                places, closing = np.bincount(group), np.bincount(group, weights=closes[keep])
+                a, b = starts[keep][first].tolist(), ends[keep][first].tolist()
+                for i, j, n, c in zip(a, b, places.tolist(), closing.tolist()):
+                    t = totals.setdefault(joined[i:j], [0, 0])
+                    t[0] += n
+                    t[1] += int(c)
                 if len(totals) > 200_000:
                     yield _counts(totals)
                     totals = {}

@@ -49,7 +49,7 @@ def code_point_table() -> np.ndarray:
     return _TABLE[0]
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """At least n powers of the base of word hashes."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(1024, 2 * n)
@@ -94,7 +94,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(inside)
     place = at - np.repeat(starts, ends - starts)
     with np.errstate(over="ignore"):
-        terms = letters[at].astype(np.uint64) * _powers(int(place.max()) + 1)[place]
+        terms = letters[at].astype(np.uint64) * powers(int(place.max()) + 1)[place]
         hashes = mix(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(ends - starts)[:-1]])))
     offsets = np.searchsorted(starts, kept_before[bounds])
     return hashes, offsets
