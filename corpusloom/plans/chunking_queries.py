@@ -65,7 +65,7 @@ def g_separator_spans(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {CHUNKS} SELECT metadata.document_id AS document_id, CAST(metadata.page AS INT) AS page, count(*) AS parts, sum(length(trim(text)))::BIGINT AS chars FROM chunks WHERE length(trim(text)) > 0 AND metadata.page IS NOT NULL GROUP BY ALL"""
 )
 def g_page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter("length(trim(text)) > 0 AND metadata.page IS NOT NULL")
+    c = chunks(spark, d, "document_id", "page").filter("length(trim(text)) > 0 AND metadata.page IS NOT NULL")
     return c.groupBy(F.col("metadata.document_id").alias("document_id"), F.col("metadata.page").cast("int").alias("page")).agg(F.count("*").alias("parts"), F.sum(F.length(F.trim("text"))).alias("chars"))
 
 

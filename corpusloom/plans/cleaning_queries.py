@@ -32,7 +32,7 @@ def legal_sql(t: str, title: str) -> str:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return C.pages_of(chunks(spark, d))
+    return C.pages_of(chunks(spark, d, "document_id", "page", "chunk"))
 
 
 def _legal(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ FROM ev FULL JOIN pages p USING (document_id, page) LEFT JOIN walk USING (docume
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d)
-    counts = chunks(spark, d).filter("length(trim(text)) > 0 AND metadata.page IS NOT NULL").groupBy(F.col("metadata.document_id").alias("document_id"), F.col("metadata.page").cast("int").alias("page")).agg(F.count("*").alias("chunks"))
+    counts = chunks(spark, d, "document_id", "page").filter("length(trim(text)) > 0 AND metadata.page IS NOT NULL").groupBy(F.col("metadata.document_id").alias("document_id"), F.col("metadata.page").cast("int").alias("page")).agg(F.count("*").alias("chunks"))
     return C.page_audit(pages, c_classify_pages(spark, d), counts)
 
 
@@ -220,7 +220,7 @@ CAST(sum(coalesce(len(regexp_extract_all(text, '(?:Art\\.|Artigo|Article|Artícu
 SELECT *, coalesce(last_page, 0) - pages AS gap, CASE WHEN empty > 0.05 * chunks THEN 'extract_again' WHEN coalesce(last_page, 0) - pages > 0 THEN 'missing_pages' WHEN prescriptive = 0 AND clauses = 0 THEN 'review' ELSE 'keep' END AS advice FROM p"""
 )
 def c_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return C.integrity(chunks(spark, d))
+    return C.integrity(chunks(spark, d, "document_id", "page"))
 
 
 @query(
@@ -246,5 +246,5 @@ SELECT id, CASE WHEN clean = text THEN id ELSE doc || '_' || left(sha256({collap
 def c_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.functions.text import chunk_id
 
-    c = chunks(spark, d).filter("text IS NOT NULL").withColumn("clean", C.apply_rules(F.col("text")))
+    c = chunks(spark, d, "document_id").filter("text IS NOT NULL").withColumn("clean", C.apply_rules(F.col("text")))
     return c.select("id", F.when(F.col("clean") == F.col("text"), F.col("id")).otherwise(chunk_id(F.col("metadata.document_id"), F.col("clean"))).alias("new_id"))

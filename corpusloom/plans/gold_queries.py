@@ -93,7 +93,7 @@ def b_dedupe_questions(spark: SparkSession, d: str) -> DataFrame:
 u AS (SELECT qid, id, grade FROM a UNION ALL SELECT a.qid, c.id, 1 FROM a JOIN c ON a.source = c.source AND abs(a.page - c.page) <= 1) SELECT qid, id, max(grade) AS grade FROM u GROUP BY ALL"""
 )
 def b_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter("metadata.page IS NOT NULL").select("id", F.col("metadata.document_id").alias("source"), F.col("metadata.page").cast("int").alias("page"))
+    c = chunks(spark, d, "document_id", "page").filter("metadata.page IS NOT NULL").select("id", F.col("metadata.document_id").alias("source"), F.col("metadata.page").cast("int").alias("page"))
     a = c.filter(F.left(T.content_hash(F.col("id")), F.lit(1)) == "0").select(F.col("source").alias("qid"), "id", F.lit(2).alias("grade"))
     return B.neighbours(a, c)
 
@@ -131,7 +131,7 @@ def b_rejections(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def b_reanchor(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter("text IS NOT NULL").select("id", F.col("metadata.document_id").alias("document"), "text")
+    c = chunks(spark, d, "document_id").filter("text IS NOT NULL").select("id", F.col("metadata.document_id").alias("document"), "text")
     new = c.withColumn("new", T.chunk_id(F.col("document"), F.col("text")))
     return B.reanchor(c, new.select(F.col("new").alias("id"), "document", F.when(F.length("text") > 300, F.substring("text", 51, 1_000_000)).otherwise(F.col("text")).alias("text")))
 

@@ -117,4 +117,4 @@ def h_requeue_blocked(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT metadata.document_id AS document_id, count(*) AS chunks, count(DISTINCT metadata.section_path) AS sections, string_agg(DISTINCT metadata.theme, '|' ORDER BY metadata.theme) AS themes FROM chunks GROUP BY 1")
 def k_document_summary(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).groupBy("metadata.document_id").agg(F.count("*").alias("chunks"), F.count_distinct("metadata.section_path").alias("sections"), F.array_join(F.array_sort(F.collect_set("metadata.theme")), "|").alias("themes")).withColumn("themes", F.nullif("themes", F.lit("")))
+    return chunks(spark, d, "document_id", "section_path", "theme").groupBy("metadata.document_id").agg(F.count("*").alias("chunks"), F.count_distinct("metadata.section_path").alias("sections"), F.array_join(F.array_sort(F.collect_set("metadata.theme")), "|").alias("themes")).withColumn("themes", F.nullif("themes", F.lit("")))

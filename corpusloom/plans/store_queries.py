@@ -41,7 +41,7 @@ def s_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT upper(trim(metadata.source_type)) AS source_type, count(*) AS chunks, count(DISTINCT metadata.document_id) AS documents FROM chunks WHERE trim(text) <> '' GROUP BY 1")
 def k_merge_corpora(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter("trim(text) <> ''")
+    c = chunks(spark, d, "document_id", "source_type", "page").filter("trim(text) <> ''")
     a, b = c.filter("metadata.page IS NULL"), c.filter("metadata.page IS NOT NULL")
     return K.corpus_counts(K.merge_corpora(a.withColumn("relation", F.lit("filho")), b))
 

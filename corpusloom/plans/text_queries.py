@@ -33,9 +33,12 @@ def count_sql(lang: str, c: str) -> str:
     return " + ".join(f"(length({c}) - length(replace({c}, ' {m} ', ''))) / {len(m) + 2}.0" for m in T.MARKERS[lang])
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row a chunk: deliveries of an id have one text."""
-    return table(spark, d, "pdf_chunks").groupBy("id").agg(F.first("text").alias("text"), F.first("metadata").alias("metadata"))
+def chunks(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """One row a chunk, with these fields of its metadata or all: deliveries of an id have one text."""
+    rows = table(spark, d, "pdf_chunks")
+    fields = fields or tuple(rows.schema["metadata"].dataType.names)
+    one = rows.groupBy("id").agg(F.first("text").alias("text"), *[F.first(f"metadata.{f}").alias(f"m_{f}") for f in fields])
+    return one.select("id", "text", F.struct(*[F.col(f"m_{f}").alias(f) for f in fields]).alias("metadata"))
 
 
 CHUNKS = "chunks AS (SELECT id, any_value(text) AS text, arg_min(metadata, extraido_em) AS metadata FROM pdf_chunks GROUP BY id)"
@@ -157,7 +160,7 @@ _HEAD = "concat_ws(' · ', nullif(trim(coalesce(metadata.title, '')), ''), nulli
 SELECT id, body, sha256('v1' || chr(1) || body) AS fingerprint FROM e"""
 )
 def t_embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = chunks(spark, d, "title", "author", "section_path")
     body = T.embedding_text(F.col("metadata.title"), F.col("metadata.author"), F.col("metadata.section_path"), F.col("text"))
     return c.select("id", body.alias("body")).select("id", "body", T.content_hash(F.concat(F.lit("v1\x01"), "body")).alias("fingerprint"))
 
@@ -178,7 +181,7 @@ def t_corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 coalesce(nullif(regexp_extract(id, '^(.+)_[0-9a-f]{{12}}(?:-[0-9]+)?$', 1), ''), nullif(regexp_extract(id, '^(.+)_p[0-9]+_c[0-9]+$', 1), ''), nullif(regexp_extract(id, '^(.+)_c[0-9]+$', 1), ''), id) AS document FROM chunks"""
 )
 def t_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("id", T.chunk_id(F.col("metadata.document_id"), F.col("text")).alias("made"), T.document_of(F.col("id")).alias("document"))
+    return chunks(spark, d, "document_id").select("id", T.chunk_id(F.col("metadata.document_id"), F.col("text")).alias("made"), T.document_of(F.col("id")).alias("document"))
 
 
 @query(
@@ -189,7 +192,7 @@ SELECT id, doc || '_' || h || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS new_i
 def t_unique_ids(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators.identity import unique_chunk_ids
 
-    return unique_chunk_ids(chunks(spark, d).select("id", "text", F.col("metadata.document_id").alias("document_id")))
+    return unique_chunk_ids(chunks(spark, d, "document_id").select("id", "text", F.col("metadata.document_id").alias("document_id")))
 
 
 @query(
@@ -217,7 +220,7 @@ def t_page_ranges(spark: SparkSession, d: str) -> DataFrame:
 WHEN metadata.page IS NOT NULL THEN 'page ' || CAST(metadata.page AS BIGINT) ELSE 'unknown place' END AS place FROM chunks"""
 )
 def t_location(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("id", T.location(F.col("metadata.source_type"), F.col("metadata.page"), F.col("metadata.source_url")).alias("place"))
+    return chunks(spark, d, "source_type", "page", "source_url").select("id", T.location(F.col("metadata.source_type"), F.col("metadata.page"), F.col("metadata.source_url")).alias("place"))
 
 
 @query(
