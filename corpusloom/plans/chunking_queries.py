@@ -88,9 +88,13 @@ def g_unit_viability(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", m.cast("long").alias("markers"), F.when(m > 0, F.round(F.length("text") / m, 6)).alias("chars_per_marker"), (m >= 5).alias("viable"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: {collapse_sql('x')}), lambda x: x <> '') AS parts FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, parts, 0 AS k, CAST([] AS VARCHAR[]) AS done FROM p UNION ALL SELECT doc_id, parts, k + 1, CASE WHEN len(done) > 0 AND length(parts[k + 1]) < 300 THEN list_append(done[1:len(done) - 1], done[len(done)] || chr(10) || parts[k + 1]) ELSE list_append(done, parts[k + 1]) END FROM w WHERE k < len(parts))
+SELECT doc_id, generate_subscripts(done, 1) - 1 AS k, unnest(done) AS part FROM w WHERE k = len(parts)"""
+)
 def g_merge_small(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", "\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", "\n+"), T.collapse), lambda x: x != "")
     return table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.posexplode(G.merge_small(parts)).alias("k", "part"))
 
 

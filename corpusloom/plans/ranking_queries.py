@@ -163,10 +163,14 @@ def r_diverse(spark: SparkSession, d: str) -> DataFrame:
     return R.diverse(ranked(spark, d), vectors(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LISTS}, w AS (SELECT DISTINCT qid, 0 AS k, CAST([] AS BIGINT[]) AS picked FROM ranked UNION ALL
+SELECT w.qid, w.k + 1, CASE WHEN len(picked) < 5 AND len(list_filter(picked, lambda e: e % 3 = r.id % 3 AND abs(e - r.id) < 40)) = 0 THEN list_append(picked, r.id) ELSE picked END FROM w JOIN ranked r ON r.qid = w.qid AND r.rank = w.k + 1),
+l AS (SELECT w.qid, list_concat(picked, (SELECT list(id ORDER BY rank) FROM ranked r WHERE r.qid = w.qid AND NOT list_contains(picked, id)))[1:5] AS ids FROM w WHERE k = 100) SELECT qid, unnest(ids) AS id, generate_subscripts(ids, 1) AS rank FROM l"""
+)
 def r_apart(spark: SparkSession, d: str) -> DataFrame:
     r = ranked(spark, d).withColumn("document", F.col("id") % 3).withColumn("position", F.col("id"))
-    return R.apart(r, 40)
+    return R.apart(r, 40).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {LISTS}, b AS (SELECT qid, id, rank, id % 900 + 100 AS chars, coalesce(sum(id % 900 + 100) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked) SELECT qid, id, rank, chars, CAST(before AS BIGINT) AS before FROM b WHERE before < 2000")
@@ -200,9 +204,12 @@ def r_interleave(spark: SparkSession, d: str) -> DataFrame:
     return R.interleave(sides(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH {_BEST}, k AS (SELECT qid, id, min(CASE WHEN side = 1 AND r <= 3 THEN r WHEN side = 2 AND r <= 2 THEN 10 + r WHEN side = 1 THEN 100 + 2 * (r - 3) ELSE 101 + 2 * (r - 2) END) AS k FROM ord GROUP BY ALL),
+x AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY k) AS rank FROM k) SELECT * FROM x WHERE rank <= 5"""
+)
 def r_partition(spark: SparkSession, d: str) -> DataFrame:
-    return R.partition(sides(spark, d), 3, 2)
+    return R.partition(sides(spark, d), 3, 2).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_BEST}, x AS (SELECT qid, id, min(2 * r + side) AS place FROM ord WHERE r <= 10 GROUP BY ALL) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id) AS rank FROM x")
