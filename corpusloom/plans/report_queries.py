@@ -18,17 +18,21 @@ from corpusloom.plans.text_queries import CHUNKS, chunks, unaccent_sql
 from corpusloom.session import table
 
 
+def cell_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The one search by cells that is registered, and whose recall is measured."""
+    v = vectors(spark, d)
+    return N.search_cells(asking(v), v, 10, probes=13)
+
+
 @query()
 def r_cell_search(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return N.search_cells(asking(v), v, 10)
+    return cell_hits(spark, d)
 
 
 @query("SELECT TRUE AS enough")
 def r_cell_recall(spark: SparkSession, d: str) -> DataFrame:
     """Whether the search by cells finds at least 0.9 of the exact search's first ten."""
-    v = vectors(spark, d)
-    return N.recall(N.search_cells(asking(v), v, 10, probes=13), ranked(spark, d, k=10)).select((F.col("recall") >= 0.9).alias("enough"))
+    return N.recall(cell_hits(spark, d), ranked(spark, d, k=10)).select((F.col("recall") >= 0.9).alias("enough"))
 
 
 @query(f"WITH {LISTS} SELECT qid, string_agg('[' || rank || '] ' || 'vetor ' || id, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY qid")

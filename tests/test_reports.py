@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusloom.operators import ann as N
 from corpusloom.operators import dense as D
 from corpusloom.operators import reports as P
@@ -18,6 +21,17 @@ def test_cells_find_the_nearest(spark):
     assert N.assign(df, N.fit_centres(df, 10, sample=50), 1).count() == 600  # fitted on a sample, every row indexed
 
 
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no data here")
+def test_registered_cell_search_has_the_recall_that_is_claimed(spark):
+    from corpusloom.plans.ranking_queries import ranked
+
+    share = N.recall(entry.queries()["r_cell_search"](spark, SF01), ranked(spark, SF01, k=10)).collect()[0].recall
+    assert share >= 0.9
+
+
 @pytest.mark.parametrize(
     ("text", "clean", "removed"),
     [
