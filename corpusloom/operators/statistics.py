@@ -14,7 +14,7 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("long")
 
 
-def paired_randomization(diffs: DataFrame, rounds: int = 1_000, seed: str = "7") -> DataFrame:
+def paired_randomization(diffs: DataFrame, rounds: int = 10_000, seed: str = "7") -> DataFrame:
     """Of (key, diff): mean, rounds at least as far from 0 with signs drawn anew, p = (count + 1) / (rounds + 1); 1 if all are 0.
 
     Rounds are spread over the cluster and each is summed where it is drawn.
@@ -40,7 +40,7 @@ def signed_ranks(diffs: DataFrame) -> DataFrame:
     return s.select("n", "w", z.alias("z"), F.when(sd > 0, 2 * normal_cdf(-F.abs(z))).otherwise(1.0).alias("p"))
 
 
-def bootstrap_interval(values: DataFrame, rounds: int = 1_000, seed: str = "7", low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_interval(values: DataFrame, rounds: int = 10_000, seed: str = "7", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Of (i, x) with i from 0 to n - 1: the mean and its percentile interval over resamples drawn by hash."""
     n = values.count()
     it = values.sparkSession.range(rounds).select(F.col("id").alias("round"))
@@ -112,7 +112,7 @@ def threshold_sweep(rows: DataFrame, steps: int = 100) -> DataFrame:
     return run.filter(F.col("k").between(1, steps - 1)).select((F.col("k") / steps).alias("threshold"), "refused_negatives", "refused_positives")
 
 
-def split_threshold(rows: DataFrame, loss: float = 0.1, steps: int = 100) -> DataFrame:
+def split_threshold(rows: DataFrame, loss: float = 0.1, steps: int = 1_000) -> DataFrame:
     """Chooses on half A the threshold with most negatives refused at a loss of positives up to `loss`; measures it on half B."""
     half = (draw(F.lit("half"), F.col("key")) % 2).alias("half")
     r = rows.select("score", "positive", half)

@@ -45,6 +45,15 @@ def test_paired_tests(spark):
     assert r.low < r["mean"] < r.high
 
 
+def test_rounds_and_thresholds_are_the_whole_grid(spark):
+    d = spark.createDataFrame([(i, 0.1 + i / 100) for i in range(20)], "key int, diff double")
+    assert one(Q.paired_randomization(d)).p < 1 / 1001
+    v = d.select(F.col("key").alias("i"), F.col("diff").alias("x"))
+    assert one(Q.bootstrap_interval(v)) == one(Q.bootstrap_interval(v, 10_000)) != one(Q.bootstrap_interval(v, 1_000))
+    s = spark.createDataFrame([(i, 0.4105 if i % 2 else 0.4155, i % 2 == 0) for i in range(200)], "key int, score double, positive boolean")
+    assert one(Q.split_threshold(s)).asDict() == {"threshold": pytest.approx(0.411), "refused": 1.0, "lost": 0.0}
+
+
 def scores(spark, rows):
     return spark.createDataFrame(rows, "item string, judge string, score int")
 
