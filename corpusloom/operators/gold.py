@@ -10,6 +10,8 @@ from corpusloom.operators.statistics import draw
 
 #: Words in a row that join a quotation to the texts that may hold it: quotations of ten words and more, shorter ones.
 LONG_GRAM, SHORT_GRAM = 8, 3
+#: Characters of a word that join a quotation of one to four words to the words that may hold it.
+PART = 8
 
 
 def _grams(t: DataFrame, n: int) -> DataFrame:
@@ -17,22 +19,38 @@ def _grams(t: DataFrame, n: int) -> DataFrame:
     return t.select("text_id", F.split("t", " ").alias("w")).select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("gram"))
 
 
+def _word_hits(t: DataFrame, q: DataFrame) -> DataFrame:
+    """Columns (text_id, quote_id, q): texts that have a word which holds the quote's longest word.
+
+    A word of a quote never spans two words of a text.  Only the sizes that quotes have are cut from the
+    words, each different word once, whatever the number of texts.
+    """
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+    own = q.select("quote_id", "q", longest.alias("piece")).withColumn("size", F.least(F.length("piece"), F.lit(PART))).withColumn("gram", F.col("piece").substr(F.lit(1), F.col("size")))
+    words = t.select("text_id", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).filter("word <> ''")
+    sized = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(PART)))).alias("size")).join(own.select("size").distinct(), "size")
+    cut = F.transform(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1), lambda i: F.col("word").substr(i, F.col("size")))
+    near = sized.select("word", F.explode(F.array_distinct(cut)).alias("gram")).join(own, "gram").filter(F.col("word").contains(F.col("piece"))).select("word", "quote_id", "q")
+    return words.join(near, "word").select("text_id", "quote_id", "q")
+
+
 def containment(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (quote_id, text_id, position) where the folded text holds the folded quote; quotes of under five words never match.
+    """Pairs (quote_id, text_id, position) where the folded text holds the folded quote; empty quotes never match.
 
     quotes: (quote_id, quote); texts: (text_id, text).  The ends of a quote may lie inside longer words of a
     text, its inner words may not; so a quote joins on its inner words from the second on, eight of them if
-    it has ten words, else three, to the texts that hold them in a row.  Only such pairs are compared.  The
-    position of the first place counts from 1 in the folded text.
+    it has ten words, else three, to the texts that hold them in a row.  Quotes of one to four words join by
+    the characters of their longest word.  Only such pairs are compared.  The position of the first place
+    counts from 1 in the folded text.
     """
-    q = quotes.select("quote_id", fold(F.col("quote")).alias("q")).withColumn("w", F.split("q", " ")).filter(F.size("w") >= SHORT_GRAM + 2)
+    q = quotes.select("quote_id", fold(F.col("quote")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
     t = texts.select("text_id", fold(F.col("text")).alias("t")).filter("t <> ''")
-    long = F.size("w") >= LONG_GRAM + 2
-    hits = []
-    for n, which in ((LONG_GRAM, long), (SHORT_GRAM, ~long)):
+    long, few = F.size("w") >= LONG_GRAM + 2, F.size("w") < SHORT_GRAM + 2
+    hits = [_word_hits(t, q.filter(few))]
+    for n, which in ((LONG_GRAM, long), (SHORT_GRAM, ~long & ~few)):
         own = q.filter(which).select("quote_id", "q", F.array_join(F.slice("w", 2, n), " ").alias("gram"))
         hits.append(_grams(t, n).join(own, "gram").select("text_id", "quote_id", "q"))
-    return hits[0].union(hits[1]).join(t, "text_id").filter(F.col("t").contains(F.col("q"))).select("quote_id", "text_id", F.instr("t", F.col("q")).alias("position")).distinct()
+    return hits[0].union(hits[1]).union(hits[2]).join(t, "text_id").filter(F.col("t").contains(F.col("q"))).select("quote_id", "text_id", F.instr("t", F.col("q")).alias("position")).distinct()
 
 
 def containment_by_key(pairs: DataFrame, quote: str = "quote", text: str = "text") -> DataFrame:

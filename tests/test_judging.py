@@ -110,6 +110,16 @@ def test_containment_against_brute_force(spark):
     assert {(r.quote_id, r.text_id) for r in found.collect()} == {("q1", 1), ("q2", 1)}
 
 
+def test_quotes_of_few_words_are_found_wherever_they_stand(spark):
+    glued = "thepatientsheetofeachversionremainsthedutyofthehealthunit" * 2
+    texts = ["A cópia de segurança do exercício anterior", f"antes {glued} depois", "cop ia", "de de", None, ""]
+    quotes = ["cópia", "OPIA DE", "cópia de segurança", "a de segurança do", "p", "de", "ia", "de d", glued, glued[3:60], "segurança  cópia", "exercícios", "", None]
+    found = B.containment(spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"))
+    plain = lambda s: " ".join((s or "").lower().translate(str.maketrans("óçí", "oci")).split())
+    want = {(i, j, plain(t).index(plain(q)) + 1) for i, q in enumerate(quotes) for j, t in enumerate(texts) if plain(q) and plain(q) in plain(t)}
+    assert sorted((r.quote_id, r.text_id, r.position) for r in found.collect()) == sorted(want) and len(want) > 12
+
+
 def test_reanchoring(spark):
     old = spark.createDataFrame([("a", "d", "Texto igual."), ("b", "d", "mesmo texto noutro id"), ("c", "d", "parte"), ("e", "d", "sumiu")], "id string, document string, text string")
     new = spark.createDataFrame([("a", "d", "texto igual."), ("n", "f", "Mesmo texto noutro id"), ("m", "d", "uma parte maior")], "id string, document string, text string")
