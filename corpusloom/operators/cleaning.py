@@ -28,7 +28,7 @@ ENTRY = r"^(?:\[[0-9]{1,4}\]|[0-9]{1,4}[.)]) +|\[[0-9]{1,4}\] *[.,;)]?$"
 ADDRESS = r"(?i)https?://|doi *: *|doi\.org/"
 PUBLISHED = r"(?i)" + EDGE + r"(?:et +al\.?|vol\.?|pp?\.? *[0-9]|retrieved|accessed|proceedings|publisher|journal|report)(?:$|[^\p{L}\p{N}_])"
 YEAR = EDGE + r"(?:19|20)[0-9]{2}(?:$|[^\p{L}\p{N}_])"
-#: Rules of leftover table scaffolding, watermarks and footers, in the order they are applied.
+#: The rules that any engine reads alike: those the SQL states.
 RULES = [
     ("invented_header", r"Colunas:[ \t\n]*(?:Coluna[ \t]*[0-9]+[ \t]*\|?[ \t\n]*)+", ""),
     ("invented_label", r"(?m)^[ \t]*Coluna[ \t]*[0-9]+:[ \t]*", ""),
@@ -37,6 +37,20 @@ RULES = [
     ("watermark", r"\*CD[0-9]{10,}\*", ""),
     ("page_footer", r"[ \t\n]*[0-9]{1,2} +\w+ +[0-9]{4} +Page +[0-9]+ +of +[0-9]+", ""),
 ]
+#: All rules of leftover table scaffolding, watermarks, side bars and footers, in the order they are applied; each match becomes one blank.
+ALL_RULES = [
+    ("invented_header", r"(?U)Colunas:\s*(?:Coluna\s*\d+\s*\|?\s*)+\n?"),
+    ("invented_label", r"(?Udm)^[ \t]*Coluna\s*\d+:[ \t]*$\n?"),
+    ("invented_label_inline", r"(?Udm)^[ \t]*Coluna\s*\d+:[ \t]*"),
+    ("table_mark", r"\[/?TABELA\]\n?"),
+    ("ethics_code_footer", r"(?U)\s*\d{1,3}\s*CÓDIGO\s*(?:DE\s*)?ÉTICA\s*MÉDICA\s*(?:DE)?\s*\d{0,3}\s*|\s*CÓDIGO\s*(?:DE\s*)?ÉTICA\s*MÉDICA\s*(?:DE)?\s*\d{1,3}\s*"),
+    ("loose_column", r"(?U)\|\s*Coluna\s*\d+\b"),
+    ("watermark", r"(?U)\*CD\d{10,}\*"),
+    ("side_bar", r"(?dm)(?<!^)Apresenta[çc][ãa]o:"),
+    ("loose_pl", r"(?U)(?<=[a-zà-ÿ,]\s)PL(?![\s.]*(?:n[ºo°]?\.?\s*)?\d)(?=\s+[a-zà-ÿ]|[A-ZÀ-Ýa-zà-ÿ][a-zà-ÿ])"),
+    ("pl_before_structure", r"(?U)(?<=[a-zà-ÿ,.]\s)PL\s+(?=(?:CAPÍTULO|TÍTULO|SEÇÃO|Seção|Subseção|Artigo|Parágrafo|ANEXO)\b|Art\.)"),
+    ("page_footer", r"(?U)\s*\d{1,2}\s+\w+\s+\d{4}\s+Page\s+\d+\s+of\s+\d+"),
+]
 EDITORIAL = r"Supervis[ãa]o editorial|Copidesque|Diagrama[çc][ãa]o|Projeto [Gg]r[áa]fico|ISBN|Dados Internacionais de Cataloga|COMPOSI[ÇC][ÃA]O DO CONSELHO|Conselheiros? (?:titulares|suplentes)|COMISS[ÃA]O NACIONAL DE REVIS[ÃA]O|COMISS[ÕO]ES ESTADUAIS"
 VERBS = ["deverá", "deverão", "deve", "devem", "será", "serão", "é", "são", "fica", "ficam", "cabe", "cabendo", "compete", "poderá", "exercer", "aplicar", "entrar"]
 DEONTIC = r"(?i)" + EDGE + r"(?:deve|deverá|devem|shall|must|vedado|debe|deberá)(?:$|[^\p{L}\p{N}_])"
@@ -211,17 +225,19 @@ def page_audit(pages: DataFrame, classified: DataFrame, chunk_counts: DataFrame)
 
 
 def apply_rules(c: Column) -> Column:
-    for _, pattern, by in RULES:
-        c = F.regexp_replace(c, pattern, by)
-    return c
+    """A text after all rules; blanks are joined where they left holes."""
+    for _, pattern in ALL_RULES:
+        c = F.regexp_replace(c, pattern, " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
 def rule_counts(c: Column) -> dict[str, Column]:
     """How often each rule applies, in order, each on what the rules before it left."""
     counts: dict[str, Column] = {}
-    for name, pattern, by in RULES:
+    for name, pattern in ALL_RULES:
         counts[name] = F.regexp_count(c, F.lit(pattern))
-        c = F.regexp_replace(c, pattern, by)
+        c = F.regexp_replace(c, pattern, " ")
     return counts
 
 

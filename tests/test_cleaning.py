@@ -58,6 +58,32 @@ def test_rules_are_idempotent(spark):
     assert a == b and "valor" in a and "fim" in a and "Coluna" not in a and "TABELA" not in a and "CD" not in a
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("Vide o texto.\n34 CÓDIGO DE ÉTICA MÉDICA 35Art. 78. Segue", "Vide o texto. Art. 78. Segue"),
+        ("fim CÓDIGO DE ÉTICA MÉDICA 7\nsegue", "fim segue"),
+        ("Aprova o CÓDIGO DE ÉTICA MÉDICA.", "Aprova o CÓDIGO DE ÉTICA MÉDICA."),
+        ("com base na Apresentação: centralidade", "com base na centralidade"),
+        ("Apresentação: um título\nApresentação: outro", "Apresentação: um título\nApresentação: outro"),
+        ("responsável da PL inteligência, em PLdiversos casos", "responsável da inteligência, em diversos casos"),
+        ("segundo o PL nº 2338 e o PL 21, a PLN e a revista PLoS", "segundo o PL nº 2338 e o PL 21, a PLN e a revista PLoS"),
+        ("da regra. PL CAPÍTULO III e, PL Art. 45", "da regra. CAPÍTULO III e, Art. 45"),
+        ("a *CD252287612600*padrões", "a padrões"),
+        ("Texto 21 September 2017 Page 3 of 30 segue", "Texto segue"),
+        ("Coluna 2:\nvalor", "valor"),
+    ],
+)
+def test_every_rule_cleans_and_spares(spark, text, clean):
+    assert spark.createDataFrame([(text,)], "t string").select(C.apply_rules(F.col("t")).alias("t")).collect()[0].t == clean
+
+
+def test_rules_are_counted_by_name(spark):
+    text = "na Apresentação: a PL lei 9 CÓDIGO DE ÉTICA MÉDICA x. PL ANEXO I"
+    row = spark.createDataFrame([(text,)], "t string").select(*[n.alias(k) for k, n in C.rule_counts(F.col("t")).items()]).collect()[0].asDict()
+    assert len(row) == 11 and {k for k, n in row.items() if n} == {"side_bar", "loose_pl", "ethics_code_footer", "pl_before_structure"}
+
+
 def test_longest_chain(spark):
     numbers = [17, 18, 5630, 20, 21, 23, 30, 400]
     rows = [("k", i, n) for i, n in enumerate(numbers)]
