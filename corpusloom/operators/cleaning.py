@@ -214,6 +214,60 @@ def short_page_reason(pages: DataFrame, most: int = 180) -> DataFrame:
     return p.select("document_id", "page", reason.alias("reason"))
 
 
+def _words(pattern: str) -> str:
+    return r"(?iU)\b(?:" + pattern + r")\b"
+
+
+def joined_lines(lines: Column) -> Column:
+    """The lines as one line; a word cut by a hyphen is joined."""
+    text = F.array_join(F.transform(lines, lambda x: F.when(x.endswith("-"), F.concat(x.substr(F.lit(1), F.length(x) - 1), F.lit("\x01"))).otherwise(x)), " ")
+    text = F.regexp_replace(F.regexp_replace(text, "\x01 ", ""), "\x01$", "-")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)(\w)-\s+(\w)", "$1$2"), r"(?U)\s+", " "))
+
+
+def noninformative_short_page(pages: DataFrame) -> DataFrame:
+    """Columns (document_id, page, reason): why a page carries nothing, null if it is kept; the page before is joined by its number.
+
+    Nine rules in order, each with its own condition of length or none: only page numbers, a bibliography
+    that goes on, a table of contents, a photo credit, an address of an institution, a copyright notice, an
+    editorial footer or caption, an address alone (up to 350 characters), a cover or heading (up to 300).
+    """
+    real = F.filter("lines", lambda x: ~is_page_number(x))
+    s = page_signals(pages).withColumns({"real": real, "like": is_reference_page(F.col("lines"))})
+    s = s.withColumns({"r": F.size("real"), "first": F.coalesce(F.get("real", F.lit(0)), F.lit("")), "body": joined_lines(F.col("lines")), "sources": _many(F.col("real"), ADDRESS)})
+    heads = r"(?iU)^(?:references?|bibliograph(?:y|ies)|how[- ]to articles?)\b"
+    s = s.withColumns({"bullet": F.col("first").rlike(r"^[•*-]"), "source_head": match_form(F.col("first")).rlike(heads), "length": F.length("body")})
+    shape = (F.col("r") > 0) & (F.col("sources") >= 2) & (F.col("prose") == 0) & (F.col("short_share") >= 0.9) & ~F.col("substantive_head") & (F.col("bullet") | F.col("source_head"))
+    before = s.select("document_id", (F.col("page") + 1).alias("page"), shape.alias("goes_on"))
+    p = s.join(before, ["document_id", "page"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+
+    sentence = F.exists("real", lambda x: (F.length(x) >= 30) & (F.regexp_count(x, F.lit(r"[A-Za-zÀ-ÿ]{3,}")) >= 5) & x.rlike(r"[.!?]$"))
+    structure = F.col("normative") | F.col("glossary") | F.col("substantive_head") | sentence | ((F.col("r") >= 4) & (_many(F.col("real"), r"(?U)\b[A-Z][A-Z0-9/-]{1,12}\b") >= 3))
+    p = p.withColumns({"sentence": sentence, "structure": structure, "prosy": F.col("prose") > 0})
+    body, lines, free = F.col("body"), F.col("real"), ~F.col("normative")
+    bare = ~F.col("prosy") & ~F.col("sentence") & ~F.col("structure")
+    bibliography = (F.col("sources") >= 2) & (F.col("like") | F.col("goes_on")) & ((F.col("bullet") & (_many(lines, r"^[•*-]") >= 2)) | F.col("source_head") | F.col("goes_on")) & ~F.col("substantive_head") & free & ~body.rlike(_words("glossary|definitions?|acronyms?|symbols?"))
+    toc = (F.col("toc_lines") >= 2) & (F.col("toc_head") | (F.col("index_head") & ~F.col("subject_head")) | ~F.col("prosy"))
+    contact = _many(lines, r"(?iU)\b(?:world health organization|organization|department|division|avenue|street|road|geneva|switzerland|secretariat|website|www\.)\b") >= 3
+    rights = _many(lines, _words(r"copyright|disclaimer|terms\s+and\s+conditions|visit\s+our\s+website|all\s+other\s+rights\s+are\s+reserved")) >= 2
+    footer = body.rlike(r"(?iU)\A(?:additional\s+resources?\s*:\s*see\s+.+|(?:figure|fig\.?|photo)\s+.+)\z") | ((F.col("r") <= 3) & F.forall(lines, lambda x: F.lower(x).contains("additional resources")))
+    left = F.regexp_replace(F.regexp_replace(body, r"(?iU)https?://\S+|www\.\S+|doi\.org/\S+", ""), _words(r"available\s+free\s+of\s+charge|publication|keywords?"), "")
+    words = F.size(F.filter(F.split(F.regexp_replace(left, r"(?U)[\d\W_]+", " "), " "), lambda x: x != ""))
+    reason = (
+        F.when(F.col("n") == 0, F.lit(None))
+        .when(F.col("r") == 0, "page_number_only")
+        .when(bibliography, "bibliographic_continuation")
+        .when(toc, "toc_short_or_continuation")
+        .when(body.rlike(r"(?iU)\bphoto\s+credit\b|\bcr[ée]dito\s+da\s+foto\b") & bare, "photo_credit_only")
+        .when(contact & free & ~F.col("structure"), "institutional_contact_only")
+        .when(rights & free, "copyright_or_disclaimer")
+        .when(footer & ~F.col("structure"), "editorial_footer_or_figure_caption")
+        .when((F.col("length") <= 350) & (words <= 8) & bare, "boilerplate_or_url_only")
+        .when((F.col("length") <= 300) & bare & (F.col("r") <= 6), "cover_or_heading_only")
+    )
+    return p.select("document_id", "page", reason.alias("reason"))
+
+
 def page_audit(pages: DataFrame, classified: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     """One row a page with exactly one status, and the pages missing between 1 and the last one as RAW_EMPTY."""
     last = pages.groupBy("document_id").agg(F.max("page").alias("last"))

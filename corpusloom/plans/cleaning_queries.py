@@ -136,7 +136,7 @@ SELECT document_id, page, CASE WHEN coalesce(body, '') = '' THEN 'empty' WHEN le
 WHEN body = previous THEN 'repeats_previous' WHEN len(lines) = 1 AND regexp_matches(body, '^(?:https?://|www\\.)[^ ]+$') THEN 'address' WHEN len(lines) = 1 AND length(body) <= 60 AND regexp_matches(body, '^[\\p{{Lu}}\\p{{N}} .,–-]+$') THEN 'heading_only' END AS reason FROM w"""
 )
 def c_short_pages(spark: SparkSession, d: str) -> DataFrame:
-    return C.short_page_reason(_pages(spark, d))
+    return C.noninformative_short_page(_pages(spark, d))
 
 
 _AUDIT = f"""ct AS (SELECT metadata.document_id AS document_id, CAST(metadata.page AS INT) AS page, count(*) AS chunks FROM chunks WHERE length(trim(text)) > 0 AND metadata.page IS NOT NULL GROUP BY ALL),

@@ -103,6 +103,33 @@ def test_short_pages(spark):
     assert got == ["page_number", "heading_only", "repeats_previous", "address", None]
 
 
+LONG = "sem verbo nem ponto e com muitas palavras pequenas que passam de um limite"
+
+
+@pytest.mark.parametrize(
+    ("texts", "reason"),
+    [
+        (["12\nPage 3 of 9"], "page_number_only"),
+        (["References\n1. A. https://a.org/1, 2001\n2. B. https://b.org/2, 2002"], "bibliographic_continuation"),
+        (["• a https://a.org\n• b https://b.org", "c https://c.org " + LONG + "\nd https://d.org " + LONG], "bibliographic_continuation"),
+        (["x", "c https://c.org " + LONG + "\nd https://d.org " + LONG], "cover_or_heading_only"),
+        (["Primeiro capítulo ........ 3\nSegundo capítulo ........ 14\n" + LONG + "\n" + LONG + "\n" + LONG], "toc_short_or_continuation"),
+        (["Photo credit: " + "\n".join([LONG] * 5)], "photo_credit_only"),
+        (["World Health Organization " + LONG + "\nAvenue Appia 20 " + LONG + "\nGeneva " + LONG + "\n" + LONG + "\n" + LONG], "institutional_contact_only"),
+        (["Copyright da casa " + LONG + "\nDisclaimer " + LONG + "\n" + LONG + "\n" + LONG + "\n" + LONG], "copyright_or_disclaimer"),
+        (["Figure 3 " + LONG + "\n" + LONG + "\n" + LONG + "\n" + LONG + "\n" + LONG], "editorial_footer_or_figure_caption"),
+        (["Keywords publication\nhttps://x.org/" + "a" * 250], "boilerplate_or_url_only"),
+        (["Relatório anual\n" + LONG + "\n" + LONG + "\n" + LONG], "cover_or_heading_only"),
+        (["Relatório anual\n" + LONG + "\n" + LONG + "\n" + LONG + "\n" + LONG], None),
+        (["O prazo de guarda do prontuário é de vinte anos."], None),
+        (["Art. 1 a regra\nArt. 2 outra"], None),
+        ([""], None),
+    ],
+)
+def test_pages_that_carry_nothing(spark, texts, reason):
+    assert C.noninformative_short_page(pages(spark, texts)).orderBy(F.desc("page")).collect()[0].reason == reason
+
+
 def test_validation_and_reconciliation(spark):
     schema = "id string, text string, metadata struct<document_id:string,source:string,source_type:string,title:string,page:int,chunk:int>"
     c = spark.createDataFrame([("a", "x", ("d", "s", "PDF", "t", 1, 1)), ("b", " ", ("e", "s", "pdf ", "", None, 1))], schema)
