@@ -15,13 +15,32 @@ from corpusloom.operators.statistics import draw
 LOOSE_NUMBER = re.compile(r"(?<!\S)(\d{1,5})(?!\S)")
 
 
-def contexts(ranked: DataFrame, texts: DataFrame, k: int = 5, most: int = 400) -> DataFrame:
-    """Columns (qid, context): the first k texts of each query in order, numbered, each cut to `most` characters."""
-    j = ranked.filter(F.col("rank") <= k).join(texts.select("id", "text"), "id")
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.left(F.coalesce("text", F.lit("")), F.lit(most)))
+def contexts(ranked: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """Columns (qid, context): the first k whole texts of each query in order, numbered.
+
+    Where texts have a title and url, each is followed by a line with both, the title as ? if it is missing
+    and the address only if there is one.  A text that is not among texts keeps its number.
+    """
+    cited = {"title", "url"} <= set(texts.columns)
+    t = texts.select("id", "text", *(["title", "url"] if cited else []))
+    j = ranked.filter(F.col("rank") <= k).join(t, "id", "left")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    if cited:
+        line = F.concat(line, F.lit("\n"), F.coalesce(F.nullif("title", F.lit("")), F.lit("?")), F.coalesce(F.concat(F.lit(" — "), F.nullif("url", F.lit(""))), F.lit("")))
     return j.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
+def context_coverage(ranked: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
+    """Columns (qid, required, arrived, complete): how many of a query's groups (qid, group_no, id) have an id in its first k, and whether all have.
+
+    Queries with fewer than k results are left out, as from the original's sheets.
+    """
+    full = ranked.filter(F.col("rank") <= k).groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
+    hit = ranked.filter(F.col("rank") <= k).select("qid", "id", F.lit(1).alias("hit"))
+    g = groups.select("qid", "group_no", "id").join(hit, ["qid", "id"], "left").groupBy("qid", "group_no").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    return g.join(full, "qid").groupBy("qid").agg(F.count("*").alias("required"), F.sum("hit").alias("arrived"), (F.min("hit") == 1).alias("complete"))
+
+
 def wide_ranking(ranked: DataFrame, qrels: DataFrame, k: int = 3) -> DataFrame:
     """One row a query with id and grade of each of its first k places."""
     g = ranked.filter(F.col("rank") <= k).join(qrels, ["qid", "id"], "left")

@@ -41,6 +41,18 @@ def r_contexts(spark: SparkSession, d: str) -> DataFrame:
     return P.contexts(ranked(spark, d), texts)
 
 
+@query(f"WITH {LISTS} SELECT qid, string_agg('[' || rank || '] ' || coalesce(text, '') || chr(10) || coalesce(nullif(title, ''), '?') || coalesce(' — ' || nullif(url, ''), ''), chr(10) || chr(10) ORDER BY rank) AS context FROM ranked LEFT JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY qid")
+def r_document_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of real texts: a vector stands for the document of its number."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "title", "url")
+    return P.contexts(ranked(spark, d), texts)
+
+
+@query(f"WITH {LISTS}, {QRELS}, {_GROUPS}, f AS (SELECT qid FROM ranked WHERE rank <= 5 GROUP BY 1 HAVING count(*) = 5), b AS (SELECT g.qid, group_no, min(rank) AS best FROM grp g JOIN f USING (qid) LEFT JOIN ranked r ON r.qid = g.qid AND r.id = g.id GROUP BY ALL) SELECT qid, count(*) AS required, count(*) FILTER (best <= 5) AS arrived, count(*) FILTER (best <= 5) = count(*) AS complete FROM b GROUP BY 1")
+def r_context_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return P.context_coverage(ranked(spark, d), groups(spark, d))
+
+
 @query(f"WITH {LISTS}, {QRELS}, g AS (SELECT r.qid, r.id, rank, coalesce(grade, 0) AS grade FROM ranked r LEFT JOIN qrels USING (qid, id) WHERE rank <= 3) SELECT qid, max(id) FILTER (rank = 1) AS id1, max(grade) FILTER (rank = 1) AS grade1, max(id) FILTER (rank = 2) AS id2, max(grade) FILTER (rank = 2) AS grade2, max(id) FILTER (rank = 3) AS id3, max(grade) FILTER (rank = 3) AS grade3 FROM g GROUP BY qid")
 def r_wide_ranking(spark: SparkSession, d: str) -> DataFrame:
     return P.wide_ranking(ranked(spark, d), qrels(spark, d))

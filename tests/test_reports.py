@@ -60,6 +60,15 @@ def test_contexts_and_sheets(spark):
     assert (rows[1].id1, rows[1].grade1, rows[1].id2, rows[1].grade2) == ("a", 0, "b", 2) and rows[2].id2 is None
 
 
+def test_contexts_hold_whole_texts_and_their_source(spark):
+    long = "palavra " * 2000 + "fim"
+    r = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "z", 3)], "qid int, id string, rank int")
+    t = spark.createDataFrame([("a", long, "Título", "https://x.org"), ("b", "dois", "", None)], "id string, text string, title string, url string")
+    assert P.contexts(r, t).collect()[0].context == f"[1] {long}\nTítulo — https://x.org\n\n[2] dois\n?\n\n[3] \n?"
+    g = spark.createDataFrame([(1, 0, "a"), (1, 0, "q"), (1, 1, "q"), (2, 0, "a")], "qid int, group_no int, id string")
+    assert [tuple(x) for x in P.context_coverage(r, g, 3).collect()] == [(1, 2, 1, False)]
+
+
 def test_ideal_order_changes_only_the_pool(spark):
     r = spark.createDataFrame([("s", 1, c, i) for i, c in enumerate("abcd", 1)], "system string, qid int, id string, rank int")
     g = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (1, "d", 2)], "qid int, id string, grade int")
