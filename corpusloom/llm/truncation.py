@@ -14,12 +14,13 @@ rows are judged one by one.  Columns besides the three named are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import SEPARATOR, code_point_table, mix, powers
@@ -29,6 +30,8 @@ FALSE_DISCOVERIES = 0.01
 #: Shares of a word's places in the corpus that close a line or clause, under which a last word is no end.
 CLOSING_WEAK, CLOSING_STRONG = 0.02, 0.002
 SLICE_ROWS = 1_000
+#: Words of more letters are counted under their digest.
+LONG_WORD = 40
 TAIL = 2_000
 NOT_BLANK = r"[^\s\u00a0\u00ad\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\u0085]"
 
@@ -81,11 +84,21 @@ def last_line(tail: str, whole: bool) -> str:
     return body[cut.end() :].strip(BLANKS) if cut else body.strip(BLANKS) if whole else "\x00" + body
 
 
+def word_key(word: Column) -> Column:
+    """What closing_words calls a word: itself, or its digest if it is long."""
+    return F.when(F.length(word) > LONG_WORD, F.md5(word)).otherwise(word)
+
+
 def closing_words(texts: DataFrame, text: str) -> DataFrame:
     """Columns (word, places, closing): how often each word stands in the corpus and how often it closes a line or clause there.
 
-    The last word of a text counts as neither.  Counts are summed in the workers before they are shuffled.
+    The last word of a text counts as neither.  Counts are summed in the workers before they are shuffled;
+    words of over LONG_WORD letters go under their digest.
     """
+
+    def name(word: str) -> str:
+        return word if len(word) <= LONG_WORD else hashlib.md5(word.encode("utf-8")).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = code_point_table()
         closers = np.zeros(0x110000, dtype=bool)
@@ -105,7 +118,7 @@ def closing_words(texts: DataFrame, text: str) -> DataFrame:
                 # A blank before a bar or a dash closes as well.
                 follow = np.minimum(ends + 1, len(points) - 1)
                 closes |= (points[np.minimum(ends, len(points) - 1)] == 32) & ((points[follow] == ord("|")) | (points[follow] == ord("—")) | (points[follow] == ord("\n")))
-                keep = ~last & (ends - starts <= 40)
+                keep = ~last
                 # Words are told apart by 64-bit hashes; only one of each is cut out of the text.
                 letters = np.flatnonzero(inside)
                 terms = points[letters].astype(np.uint64) * powers(int((ends - starts).max()))[letters - np.repeat(starts, ends - starts)]
@@ -114,7 +127,7 @@ def closing_words(texts: DataFrame, text: str) -> DataFrame:
                 places, closing = np.bincount(group), np.bincount(group, weights=closes[keep])
                 a, b = starts[keep][first].tolist(), ends[keep][first].tolist()
                 for i, j, n, c in zip(a, b, places.tolist(), closing.tolist()):
-                    t = totals.setdefault(joined[i:j], [0, 0])
+                    t = totals.setdefault(name(joined[i:j]), [0, 0])
                     t[0] += n
                     t[1] += int(c)
                 if len(totals) > 200_000:
