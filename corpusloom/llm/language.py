@@ -1,7 +1,8 @@
 """Problem 4: languages of documents and of their segments, by a bidirectional gated recurrent network over bytes.
 
 The network labels every byte; a sentence pools the log-probabilities of its bytes, leaving out quoted
-terms, and neighbouring sentences of one language form a segment; a document pools its sentences.  The
+terms, and neighbouring sentences of one language form a segment; a document pools all its bytes, and its
+confidence is the pooled probability of its language, or languages.  The
 network is trained in numpy by backpropagation through time on a bounded sample of labelled passages (the
 TRAIN_PASSAGES least by hash of each language), with windows that change language half way, lost accents
 and lost case mixed in; after the first half of the steps windows that contradict their label are left out,
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("pt", "en", "es")
@@ -32,14 +33,14 @@ NAMES = {
     "mixed": ["mixed", "mix", "misto", "mixto", "mul", "multi", "multiple", "varios", "multilingual"],
 }
 TRAIN_PASSAGES = 300
-WIDTH, SPAN, STEPS, BATCH = 24, 80, 200, 96
-WINDOW, CONTEXT, AT_ONCE = 128, 16, 1_024
+WIDTH, SPAN, STEPS, BATCH = 16, 80, 240, 96
+WINDOW, CONTEXT, STEP, AT_ONCE = 256, 16, 32, 1_024
+SLICE_ROWS = 256
 MIN_WORDS, MIN_LETTERS = 4, 18
 #: By how much a byte, on average, another language must be likelier than the text's own for a sentence to leave it.
 MARGIN = 1.2
 SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+(?!\d)|[\r\n]+")
 QUOTED = re.compile(r"“[^”]{1,200}”|\"[^\"]{1,200}\"|«[^»]{1,200}»|‘[^’]{1,200}’")
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def read_language(c: Column) -> Column:
@@ -85,13 +86,46 @@ class ByteNetwork:
             h = states[t] = new
         return states, saved
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What _run gives, without what learning needs: one array for each gate and nothing allocated in between."""
+        steps, n = x.shape
+        c = self.width
+        # A logistic gate is half a hyperbolic tangent of half its input.
+        table = [np.ascontiguousarray(self.w[f"in{d}"][:, i * c : (i + 1) * c] * k) for i, k in enumerate((np.float32(0.5), np.float32(0.5), np.float32(1)))]
+        rec = [np.ascontiguousarray(self.w[f"rec{d}"][:, i * c : (i + 1) * c] * k) for i, k in enumerate((np.float32(0.5), np.float32(0.5), np.float32(1)))]
+        kind = table[0].dtype
+        states, last = np.empty((steps, n, c), dtype=kind), np.zeros((n, c), dtype=kind)
+        z, r, u, a = (np.empty((n, c), dtype=kind) for _ in range(4))
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            for gate, i in ((z, 0), (r, 1)):
+                np.take(table[i], x[t], axis=0, out=a, mode="clip")
+                np.dot(last, rec[i], out=gate)
+                gate += a
+                np.tanh(gate, out=gate)
+                gate += 1
+            z *= 0.5
+            np.dot(last, rec[2], out=u)
+            r *= u
+            r *= 0.5
+            np.take(table[2], x[t], axis=0, out=a, mode="clip")
+            r += a
+            np.tanh(r, out=r)
+            new = states[t]
+            np.subtract(last, r, out=new)
+            new *= z
+            new += r
+            last = new
+        return states
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """x: bytes, time first -> log-probabilities of the languages at each byte."""
-        f, _ = self._run(x, "f", False)
-        b, _ = self._run(x, "b", False)
-        o = f @ self.w["out"][: self.width] + b @ self.w["out"][self.width :] + self.w["bias"]
+        x = x.astype(np.intp)
+        o = self._states(x, "f") @ self.w["out"][: self.width]
+        o += self._states(x, "b") @ self.w["out"][self.width :]
+        o += self.w["bias"]
         o -= o.max(axis=-1, keepdims=True)
-        return o - np.log(np.exp(o).sum(axis=-1, keepdims=True))
+        o -= np.log(np.exp(o).sum(axis=-1, keepdims=True))
+        return o
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of labels y at every byte of x, and its gradients by backpropagation through time."""
@@ -178,19 +212,31 @@ def train(passages: list[tuple[str, int]], classes: int, steps: int = STEPS, see
     return net
 
 
-def byte_labels(net: ByteNetwork, raws: list[bytes]) -> list[np.ndarray]:
-    """Log-probabilities at every byte of each text; windows overlap by CONTEXT on either side."""
+def byte_labels(net: ByteNetwork, raws: list[bytes]) -> np.ndarray:
+    """Log-probabilities at every byte of the texts one after another; windows overlap by CONTEXT on either side."""
     inner = WINDOW - 2 * CONTEXT
-    spots = [(i, at) for i, raw in enumerate(raws) for at in range(0, len(raw), inner)]
-    out = [np.empty((len(raw), net.w["bias"].shape[0]), dtype=np.float32) for raw in raws]
-    padded = [b" " * CONTEXT + raw + b" " * (WINDOW + CONTEXT) for raw in raws]
-    for start in range(0, len(spots), AT_ONCE):
-        part = spots[start : start + AT_ONCE]
-        x = np.frombuffer(b"".join(padded[i][at : at + WINDOW] for i, at in part), dtype=np.uint8).reshape(len(part), WINDOW).T
-        p = net.probabilities(np.ascontiguousarray(x))
-        for j, (i, at) in enumerate(part):
-            n = min(inner, len(raws[i]) - at)
-            out[i][at : at + n] = p[CONTEXT : CONTEXT + n, j]
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    parts = -(-sizes // inner)
+    owner = np.repeat(np.arange(len(raws)), parts)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * inner
+    width = np.minimum(inner, sizes[owner] - at)
+    out = np.empty((int(sizes.sum()), net.w["bias"].shape[0]), dtype=net.w["bias"].dtype)
+    # Each text stands between blanks, so that no window sees another text.
+    pad = b" " * WINDOW
+    data = np.frombuffer(pad + pad.join(raws) + pad, dtype=np.uint8)
+    begin = starts + WINDOW * (np.arange(len(raws)) + 1)
+    # Windows go together by length in steps of STEP, so that neighbours do not change what a window sees.
+    grade = -(-width // STEP)
+    for g in np.unique(grade):
+        same, span = np.flatnonzero(grade == g), int(g) * STEP + 2 * CONTEXT
+        for low in range(0, len(same), AT_ONCE):
+            part = same[low : low + AT_ONCE]
+            spots = (begin[owner[part]] + at[part] - CONTEXT)[None, :] + np.arange(span)[:, None]
+            p = net.probabilities(data[spots])[CONTEXT:]
+            keep = np.arange(span - CONTEXT)[:, None] < width[part][None, :]
+            to = (starts[owner[part]] + at[part])[None, :] + np.arange(span - CONTEXT)[:, None]
+            out[to[keep]] = p[keep]
     return out
 
 
@@ -199,33 +245,55 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def segments(net: ByteNetwork, texts: list[str]) -> list[list[tuple[int, int, int, float, bool]]]:
-    """For each text its segments: (start, end, language number, confidence, whether it has a whole sentence), in code points."""
+_LETTERS: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
+    return _LETTERS[0]
+
+
+def segments(net: ByteNetwork, texts: list[str]) -> tuple[list[list[tuple[int, int, int, float, bool]]], np.ndarray]:
+    """For each text its segments, (start, end, language number, confidence, whether it has a whole sentence) in code points, and its pooled probabilities."""
     plain = [unicodedata.normalize("NFC", t) if not unicodedata.is_normalized("NFC", t) else t for t in texts]
+    if not any(plain):
+        return [[] for _ in texts], np.zeros((len(texts), net.w["bias"].shape[0]))
     labels = byte_labels(net, [t.encode("utf-8") for t in plain])
-    out = []
-    for given, text, p in zip(texts, plain, labels):
-        width = np.fromiter((1 if ch < "\x80" else 2 if ch < "ࠀ" else 3 if ch < "\U00010000" else 4 for ch in text), dtype=np.int64, count=len(text)) if not text.isascii() else np.ones(len(text), dtype=np.int64)
-        at = np.concatenate([[0], np.cumsum(width)])
-        quoted = np.zeros(len(text) + 1, dtype=bool)
+    points = np.frombuffer("".join(plain).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in plain], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    bytes_each = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bytes_each)])
+    letter = _letters()[points]
+    bare = letter.copy()
+    spans = []
+    for text, start in zip(plain, starts.tolist()):
         for m in QUOTED.finditer(text):
-            quoted[m.start() : m.end()] = True
-        letters = np.zeros(len(p), dtype=bool)
-        for m in WORD.finditer(text):
-            letters[at[m.start()] : at[m.end()]] = True
-        bare = letters.copy()
-        for i in np.flatnonzero(quoted[: len(text)]):
-            bare[at[i] : at[i + 1]] = False
+            bare[start + m.start() : start + m.end()] = False
+        spans.append(sentences(text))
+    # Sums up to each code point: letters and bare letters in bytes, words begun, pooled log-probabilities.
+    first = letter & ~np.concatenate([[False], letter[:-1]])
+    first[starts[sizes > 0]] = letter[starts[sizes > 0]]
+    opens = np.array([s + a for own, s in zip(spans, starts.tolist()) for a, _ in own], dtype=np.int64)
+    totals = {}
+    for name, use in (("letters", letter), ("bare", bare)):
+        byte = np.repeat(use, bytes_each)
+        totals[name] = np.add.reduceat(use * bytes_each, opens).tolist()
+        totals[f"{name} pooled"] = np.add.reduceat(labels * byte[:, None], at[opens], axis=0, dtype=np.float64)
+    begun = np.add.reduceat(first.astype(np.int64), opens).tolist()
+    out, pooled_all, k = [], np.zeros((len(texts), labels.shape[1])), 0
+    for which, (given, text, own_spans) in enumerate(zip(texts, plain, spans)):
         units = []
-        for a, b in sentences(text):
-            span = slice(at[a], at[b])
-            use = bare[span] if bare[span].sum() >= 8 else letters[span]
-            if use.any():
-                pooled = p[span][use].sum(axis=0)
-                enough = len(WORD.findall(text, a, b)) >= MIN_WORDS and int(use.sum()) >= MIN_LETTERS
-                units.append([a, b, pooled, int(use.sum()), enough])
+        for a, b in own_spans:
+            name = "bare" if totals["bare"][k] >= 8 else "letters"
+            n = totals[name][k]
+            if n:
+                units.append([a, b, totals[f"{name} pooled"][k], n, begun[k] >= MIN_WORDS and n >= MIN_LETTERS])
             elif units:
                 units[-1][1] = b
+            k += 1
         if any(u[4] for u in units):
             # Short units go with the sentence before, those at the start with the one after.
             joined: list[list] = []
@@ -241,7 +309,8 @@ def segments(net: ByteNetwork, texts: list[str]) -> list[list[tuple[int, int, in
         elif units:
             units = [[0, len(text), np.sum([u[2] for u in units], axis=0), sum(u[3] for u in units), True]]
         found: list[list] = []
-        own = int(np.argmax(np.sum([u[2] for u in units], axis=0))) if units else 0
+        whole = np.sum([u[2] for u in units], axis=0) if units else np.zeros(labels.shape[1])
+        own = int(np.argmax(whole))
         for a, b, pooled, n, enough in units:
             lang = int(np.argmax(pooled))
             if pooled[lang] - pooled[own] < MARGIN * n:
@@ -251,13 +320,15 @@ def segments(net: ByteNetwork, texts: list[str]) -> list[list[tuple[int, int, in
             else:
                 found.append([a, b, lang, pooled, n, enough])
         scale = len(given) / max(1, len(text))
-        rows = []
-        for a, b, lang, pooled, n, enough in found:
-            mean = pooled / n
-            e = np.exp(mean - mean.max())
-            rows.append((int(a * scale), int(b * scale) if b < len(text) else len(given), lang, float(e[lang] / e.sum()), bool(enough)))
-        out.append(rows)
-    return out
+        out.append([(int(a * scale), int(b * scale) if b < len(text) else len(given), lang, float(_mean_chances(pooled, n)[lang]), bool(enough)) for a, b, lang, pooled, n, enough in found])
+        if units:
+            pooled_all[which] = _mean_chances(whole, sum(u[3] for u in units))
+    return out, pooled_all
+
+
+def _mean_chances(pooled: np.ndarray, n: int) -> np.ndarray:
+    e = np.exp(pooled / n - (pooled / n).max())
+    return e / e.sum()
 
 
 def latest_passages(rows: DataFrame, key: str, text: str, label: str, time: str) -> DataFrame:
@@ -268,44 +339,45 @@ def latest_passages(rows: DataFrame, key: str, text: str, label: str, time: str)
 
 def train_on(passages: DataFrame, limit: int = TRAIN_PASSAGES) -> ByteNetwork:
     """Fits a network to at most `limit` labelled passages of each language, the least by hash."""
-    named = passages.withColumn("named", read_language(F.col("label"))).filter(F.length(F.trim("text")) >= SPAN)
-    sample: list[tuple[str, int]] = []
-    for i, lang in enumerate(LANGUAGES):
-        rows = named.filter(F.col("named") == lang).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit).collect()
-        sample += [(r["text"], i) for r in rows]
+    named = passages.select("text", read_language(F.col("label")).alias("named")).filter(F.col("named").isin(*LANGUAGES) & (F.length(F.trim("text")) >= SPAN))
+    # One pass: each partition keeps its least of every language before anything is shuffled.
+    rank = F.row_number().over(Window.partitionBy("named").orderBy(F.xxhash64("text"), "text"))
+    rows = named.withColumn("rank", rank).filter(F.col("rank") <= limit).collect()
+    sample = [(r["text"], LANGUAGES.index(r["named"])) for r in sorted(rows, key=lambda r: (LANGUAGES.index(r["named"]), r["rank"]))]
     if not sample:
         raise ValueError("no labelled passage to learn from")
     return train(sample, len(LANGUAGES))
 
 
 def label_segments(passages: DataFrame, net: ByteNetwork) -> DataFrame:
-    """Columns (key, label, segment, start, stop, lang, confidence, whole): the segments of each passage that is not blank."""
+    """Columns (key, label, segment, start, stop, lang, confidence, whole, chances): the segments of each passage that is not blank; chances are the document's."""
     shared = passages.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = batch.column(2).to_pylist()
-                rows = [(i, k, *s) for i, found in enumerate(segments(shared.value, texts)) for k, s in enumerate(found)]
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                found, pooled = segments(shared.value, batch.column(2).to_pylist())
+                rows = [(i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
                 if not rows:
                     continue
                 owner, k, start, stop, lang, sure, enough = zip(*rows)
                 spots = pa.array(owner, type=pa.int64())
+                chances = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * pooled.shape[1]), pa.array(pooled[list(owner)].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(spots), batch.column(1).take(spots), pa.array(k, type=pa.int32()), pa.array(start, type=pa.int32()), pa.array(stop, type=pa.int32()), pa.array([LANGUAGES[x] for x in lang]), pa.array(sure), pa.array(enough)],
-                    names=["key", "label", "segment", "start", "stop", "lang", "confidence", "whole"],
+                    [batch.column(0).take(spots), batch.column(1).take(spots), pa.array(k, type=pa.int32()), pa.array(start, type=pa.int32()), pa.array(stop, type=pa.int32()), pa.array([LANGUAGES[x] for x in lang]), pa.array(sure), pa.array(enough), chances],
+                    names=["key", "label", "segment", "start", "stop", "lang", "confidence", "whole", "chances"],
                 )
 
     base = passages.select("key", "label", "text").filter(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return base.mapInArrow(run, "key string, label string, segment int, start int, stop int, lang string, confidence double, whole boolean")
+    return base.mapInArrow(run, "key string, label string, segment int, start int, stop int, lang string, confidence double, whole boolean, chances array<double>")
 
 
 def label_documents(labelled: DataFrame) -> DataFrame:
-    """Columns (key, label, langs, lang, confidence): lang is the language or mixed."""
-    size = (F.col("stop") - F.col("start")).cast("double")
-    per = labelled.groupBy("key").agg(F.first("label").alias("label"), F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("lang")))).alias("langs"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
-    return per.select("key", "label", "langs", F.when(F.size("langs") > 1, "mixed").otherwise(F.col("langs")[0]).alias("lang"), "confidence")
+    """Columns (key, label, langs, lang, confidence): lang is the language or mixed, confidence the pooled probability of langs."""
+    per = labelled.groupBy("key").agg(F.first("label").alias("label"), F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("lang")))).alias("langs"), F.first("chances").alias("chances"))
+    share = [F.when(F.array_contains("langs", lang), F.col("chances")[i]).otherwise(0.0) for i, lang in enumerate(LANGUAGES)]
+    return per.select("key", "label", "langs", F.when(F.size("langs") > 1, "mixed").otherwise(F.col("langs")[0]).alias("lang"), sum(share[1:], share[0]).alias("confidence"))
 
 
 def wrong_labels(documents: DataFrame) -> DataFrame:

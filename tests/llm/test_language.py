@@ -72,8 +72,23 @@ def test_segments_cover_decomposed_and_upper_text(labelled):
     import unicodedata
 
     text = unicodedata.normalize("NFD", PT[1].upper()) + "\n" + EN[1]
-    rows = segments(labelled[1], [text, "a", "42.", EN[0] * 200])
-    assert [r[2] for r in rows[0]] == [0, 1] and rows[0][-1][1] == len(text) and len(rows[3]) == 1
+    rows, pooled = segments(labelled[1], [text, "a", "42.", EN[0] * 200, ""])
+    assert [r[2] for r in rows[0]] == [0, 1] and rows[0][-1][1] == len(text) and len(rows[3]) == 1 and rows[2] == rows[4] == []
+    assert pooled[3].argmax() == 1 and pooled[3].sum() == pytest.approx(1) and not pooled[2].any()
+
+
+def test_labels_do_not_depend_on_neighbours(labelled):
+    texts = [PT[0] + " " + EN[1], "ação", EN[2] * 9, ES[1].upper(), "x" * 700 + " " + ES[0]]
+    together = segments(labelled[1], texts)
+    for i, t in enumerate(texts):
+        alone = segments(labelled[1], [t])
+        assert [r[:3] for r in alone[0][0]] == [r[:3] for r in together[0][i]] and np.allclose(alone[1][0], together[1][i], atol=1e-5)
+
+
+def test_states_without_learning_equal_those_with(labelled):
+    net, x = labelled[1], np.random.default_rng(0).integers(0, 256, (40, 7))
+    for d in "fb":
+        assert np.allclose(net._states(x, d), net._run(x, d, False)[0], atol=1e-5)
 
 
 def test_nothing_to_learn_from(spark):
