@@ -23,9 +23,10 @@ from corpusloom.llm.words import gram_hashes, word_hashes
 
 SPAN_WORDS = 12
 GRAM_WORDS = 9
-#: Most item fingerprints (8 bytes each, 16 MB) sent to the workers to drop other hashes at once; with more,
-#: all fingerprints of the corpus are shuffled and joined.
-FILTER_LIMIT = 2_000_000
+#: Most item fingerprints sent to the workers to drop other hashes at once: their hashes take 1.6 MB, with the
+#: words around them under 20 MB; with more, all fingerprints of the corpus are shuffled and joined, where the
+#: engine splits a hash that is met too often.
+FILTER_LIMIT = 200_000
 SLICE_ROWS = 1_000
 
 

@@ -119,6 +119,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
 
 
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked item stands in."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated_texts(table(spark, d, "documents")).select("doc_id")
@@ -135,9 +141,10 @@ def p8_hazards(spark: SparkSession, d: str) -> DataFrame:
     return h.select("source", "unit", F.col("length").cast("long").alias("length"), "texts", "at_risk", F.round("hazard", 6).alias("hazard"), F.round("near_hazard", 6).alias("near_hazard"), "significant")
 
 
-SQL["p5_found"] = """
-SELECT 'pdf_chunks' AS item_table, id AS item_key FROM pdf_chunks WHERE length(text) > 1200 GROUP BY id
-UNION ALL SELECT 'perguntas_lote01', CAST(n AS VARCHAR) FROM perguntas_lote01 WHERE length(passagem_texto) > 1200 GROUP BY n"""
+_LAST = "SELECT '{table}' AS item_table, CAST({key} AS VARCHAR) AS item_key FROM (SELECT {key}, {text} AS t, row_number() OVER (PARTITION BY {key} ORDER BY {time} DESC NULLS LAST, length({text}) > 1200 DESC NULLS LAST) AS k FROM {table} WHERE {key} IS NOT NULL) WHERE k = 1 AND length(t) > 1200"
+SQL["p5_found"] = f"""
+{_LAST.format(table="pdf_chunks", key="id", text="text", time="extraido_em")}
+UNION ALL {_LAST.format(table="perguntas_lote01", key="n", text="passagem_texto", time="carregado_em")}"""
 
 _FOLD = r"regexp_replace(lower({}), '[\s\x{{0085}}\x{{00a0}}\x{{00ad}}\x{{2000}}-\x{{200f}}\x{{2010}}-\x{{2015}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{2060}}\x{{2212}}\x{{3000}}\x{{feff}}_-]+', '', 'g')"
 SQL["p1_found"] = f"""
@@ -163,6 +170,7 @@ _GRAMS = "SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: a
 SQL["p7_found"] = f"""
 WITH docs AS ({_GRAMS.format(key="doc_id", words=_WORDS, table="documents")}), items AS ({_GRAMS.format(key="item_id", words=_WORDS, table="itens_avaliacao")})
 SELECT DISTINCT doc_id, item_id FROM docs JOIN items USING (gram)"""
+SQL["p7_items"] = f"SELECT item_id, count(*) AS documents FROM ({SQL['p7_found']}) GROUP BY item_id"
 SQL["p8_hazards"] = """
 WITH l AS (SELECT source, 'chars' AS unit, length(text) AS length FROM documents WHERE length(text) > 0 UNION ALL SELECT source, 'bytes', strlen(text) FROM documents WHERE length(text) > 0),
 c AS (SELECT source, unit, length, count(*) AS texts FROM l GROUP BY ALL),

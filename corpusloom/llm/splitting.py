@@ -9,7 +9,8 @@ any boundary around it, so atoms are taken as the largest such units.
 Defined cases: null, empty and blank texts and texts of at most `limit` code points are not oversized and
 give no rows; unbroken strings are cut hard, never inside a combining sequence unless it is longer than a
 piece; the pieces without their overlaps are the exact text again.  Of several deliveries of a key the
-latest counts, at equal times the greatest text; without a time column the greatest text.
+latest counts, whatever its length; at equal times, and without a time column, an oversized text counts
+before others, the greatest of several.
 """
 
 from __future__ import annotations
@@ -143,10 +144,10 @@ def split_oversized(
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to under limit")
     when = F.col(time).alias("at") if time else F.lit(None).cast("timestamp").alias("at")
-    long = items.select(F.col(key).cast("string").alias("item_key"), F.col(text).cast("string").alias("text"), when).filter(
-        (F.length("text") > limit) & F.col("item_key").isNotNull()
-    )
-    latest = long.groupBy("item_key").agg(F.max(F.struct("at", "text")).alias("last")).select("item_key", F.col("last.text").alias("text"))
+    # Texts within the limit take part without their text, so that only oversized ones are shuffled.
+    rows = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item_key"), F.col(text).cast("string").alias("text"), when)
+    kept = rows.select("item_key", F.struct("at", F.when(F.length("text") > limit, F.col("text")).alias("text")).alias("r"))
+    latest = kept.groupBy("item_key").agg(F.max("r").alias("last")).select("item_key", F.col("last.text").alias("text")).filter("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import importlib.util
 import os
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words kept per Python worker; beyond it the memory starts anew, results are the same.
 MEMORY_WORDS = 400_000
+#: Bytes of a word from which it is merged exactly at once, and all bytes of the words that are kept.
+LONG_WORD, MEMORY_BYTES = 4_096, 64 << 20
 #: Rows handled at a time in a worker.
 SLICE_ROWS = 1_000
 
@@ -50,27 +53,35 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 def merge_exactly(word: bytes, ids: dict[bytes, int], below: int | None = None) -> list[int]:
-    """Byte-pair merging, lowest rank first, leftmost on ties; ranks at or above `below` are not used."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ids.get(parts[i] + parts[i + 1])
-            if rank is not None and (below is None or rank < below) and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
-            break
-        merged, i = [], 0
-        pair = parts[at] + parts[at + 1]
-        while i < len(parts):
-            if i + 1 < len(parts) and parts[i] + parts[i + 1] == pair and ids[pair] == best:
-                merged.append(pair)
-                i += 2
-            else:
-                merged.append(parts[i])
-                i += 1
-        parts = merged
-    return [ids[p] for p in parts]
+    """Byte-pair merging, lowest rank first, leftmost on ties; ranks at or above `below` are not used.
+
+    Candidate pairs wait in a heap and parts are linked to their neighbours, so a word costs its length times
+    the logarithm of its length.
+    """
+    n = len(word)
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    if n < 2:
+        return [ids[p] for p in parts]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    most = len(ids) if below is None else below
+    # A pair waits as its rank and its left part's place in one number.
+    heap = [r * n + i for i in range(n - 1) if (r := ids.get(word[i : i + 2], most)) < most]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = divmod(heapq.heappop(heap), n)
+        j = after[i] if parts[i] is not None else n
+        if j >= n or ids.get(parts[i] + parts[j]) != rank:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ids.get(parts[i] + parts[k], most)) < most:
+                heapq.heappush(heap, r * n + i)
+        h = before[i]
+        if h >= 0 and (r := ids.get(parts[h] + parts[i], most)) < most:
+            heapq.heappush(heap, r * n + h)
+    return [ids[p] for p in parts if p is not None]
 
 
 class SpeculativeEncoder:
@@ -185,18 +196,22 @@ class SpeculativeEncoder:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         """(flat ids, number of ids of each word, number of words merged exactly)."""
+        # One walk serves all words at once; words of LONG_WORD bytes or more would keep it walking alone.
+        long = [i for i, w in enumerate(words) if len(w) >= LONG_WORD]
+        whole, words = words, [b"" if len(w) >= LONG_WORD else w for w in words] if long else words
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         end = np.cumsum(lens)
         data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
         word, token = self.propose(data, end - lens, end)
         failed = np.zeros(len(words), dtype=bool)
+        failed[long] = True
         failed[word[self.odd[token]]] = True
         seam = np.flatnonzero(word[1:] == word[:-1])
         failed[word[seam[~self.compatible(token[seam], token[seam + 1])]]] = True
         counts = np.bincount(word, minlength=len(words)).astype(np.int64)
         if not failed.any():
             return token.astype(np.int32), counts, 0
-        fixed = {int(w): merge_exactly(words[w], self.ids) for w in np.flatnonzero(failed)}
+        fixed = {int(w): merge_exactly(whole[w], self.ids) for w in np.flatnonzero(failed)}
         bounds = np.cumsum(counts) - counts
         parts = [fixed[i] if i in fixed else token[bounds[i] : bounds[i] + counts[i]] for i in range(len(words))]
         counts = np.array([len(p) for p in parts], dtype=np.int64)
@@ -219,10 +234,12 @@ class TextEncoder:
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 15, dtype=np.int64)
         self.count = np.zeros(1 << 15, dtype=np.int64)
-        self.words = self.used = 0
+        self.words = self.used = self.bytes = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        flat, counts, exact = self.encoder.encode_words([w.encode("utf-8") for w in fresh])
+        raw = [w.encode("utf-8") for w in fresh]
+        self.bytes += sum(map(len, raw))
+        flat, counts, exact = self.encoder.encode_words(raw)
         self.merged_exactly += exact
         while self.words + len(fresh) > len(self.begin):
             self.begin, self.count = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.count, self.count * 0])
@@ -238,7 +255,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets of the texts, one more than texts)."""
-        if self.words > MEMORY_WORDS:
+        if self.words > MEMORY_WORDS or self.bytes > MEMORY_BYTES:
             self._forget()
         split = [self.split(t) if t else [] for t in texts]
         fresh = set().union(*split).difference(self.known) if split else set()

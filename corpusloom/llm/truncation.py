@@ -4,9 +4,12 @@ For each source and unit of length (code points, UTF-8 bytes) the discrete hazar
 of the texts at least that long that stop there.  Window functions pool the hazards of the neighbouring
 lengths, leaving out the nearest, which a cut at a word end may reach; each length is tested against them
 (Chernoff bound of the Poisson tail) and the false-discovery rate is held within each source and unit.
-Texts are then flagged by their endings: an ending that breaks off (a mark of omission, a text fragment
-without an end) anywhere; an ending in a list item, table row, keyword line or signature only if the
-corpus shows that its last word does not close such a line, at significant lengths from weaker evidence.
+An ending that may be none is then weighed by three likelihood ratios, of a text cut there against one that
+ends there: its length (at a significant length the stops beyond the expected ones against those, elsewhere
+the odds of a transfer broken off), its form (a mark of omission, a text fragment without an end, a line
+that may as well be whole) and its last word (how often the corpus has it inside a line against at its end).
+A text is reported if the product is over 1: at significant lengths on weak evidence, elsewhere, where only
+a transfer can have broken off, on strong evidence alone.
 
 Defined cases: null, empty and blank texts are no cases; a null source is a source of its own; repeated
 rows are judged one by one.  Columns besides the three named are not read.
@@ -24,15 +27,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import SEPARATOR, code_point_table, mix, powers
+from corpusloom.session import cut_lineage
 
 NEAR, WIDE = 12, 150
 FALSE_DISCOVERIES = 0.01
-#: Shares of a word's places in the corpus that close a line or clause, under which a last word is no end.
-CLOSING_WEAK, CLOSING_STRONG = 0.02, 0.002
+#: Odds that a text was cut: at most at a significant length, and by a broken transfer at any other.
+LIMIT_ODDS, TRANSFER_ODDS = 50.0, 0.01
+#: How much likelier a cut text has an ending of a form than a whole one.
+FORM_RATIOS = {"mark": 10_000.0, "fragment": 1_200.0, "line": 0.1}
+#: Bounds of the last word's ratio, and the ratio of a word that stands nowhere else.
+WORD_LEAST, WORD_MOST, WORD_NEW = 0.1, 300.0, 150.0
 SLICE_ROWS = 1_000
 #: Words of more letters are counted under their digest.
 LONG_WORD = 40
-TAIL = 2_000
 NOT_BLANK = r"[^\s\u00a0\u00ad\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\u0085]"
 
 # The forms of endings in Portuguese, English and Spanish.
@@ -51,11 +58,11 @@ CLOSED_LINES = [
     regex.compile(r"\|\s*[+-]?[\d.,]+\s*%?$"),
 ]
 OPEN_LINES = regex.compile(r"^\s*[-•*–—▪·]\s+\S|;[^;]*;|\||^(?i:palavras-chave|keywords|palabras clave)\b|^(?i:relatoria|relatora?|signed|firma|firmado|assinado|assinatura|assina|fdo|rapporteur|ponente)\b[^:]{0,20}:\s*\S")
-LAST_WORD = regex.compile(r"[^\W_][\w\p{M}-]*(?=[^\w\p{M}]*$)")
-BREAKS = regex.compile(r"[\n\r\x0b\x0c\x85  ]")
 BLANKS = "".join(chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))
 
 
+_CLASS = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
+_BREAK_CLASS = "\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029"
 FOOTNOTES = regex.compile(r"(?:\s*\[\d{1,3}\])+$")
 
 
@@ -75,13 +82,14 @@ def judge_line(line: str) -> str:
     return "line" if OPEN_LINES.search(line) else "fragment"
 
 
-def last_line(tail: str, whole: bool) -> str:
-    """The last line of a text that is not blank; one that begins before the tail gets a mark that is no letter in front."""
-    body = tail.rstrip(BLANKS)
-    cut = None
-    for cut in BREAKS.finditer(body, max(0, len(body) - TAIL)):
-        pass
-    return body[cut.end() :].strip(BLANKS) if cut else body.strip(BLANKS) if whole else "\x00" + body
+def last_line(text: Column) -> Column:
+    """The last line that is not blank, whole, without blanks at its ends; read backwards, so that it costs no more than the text's length."""
+    return F.reverse(F.regexp_extract(F.reverse(text), rf"^[{_CLASS}]*([^{_BREAK_CLASS}]*)", 1))
+
+
+def last_word(line: str) -> str:
+    found = regex.match(r"[^\w\p{M}]*?(-*[\w\p{M}][\w\p{M}-]*)", line[::-1])
+    return found.group(1)[::-1].lstrip("-_").lower() if found else ""
 
 
 def word_key(word: Column) -> Column:
@@ -178,44 +186,48 @@ def lengths_of(docs: DataFrame, text: str = "text", source: str = "source") -> D
 
 def judge_endings(docs: DataFrame) -> DataFrame:
     """From (key, source, text): each text whose ending may be none, with chars, bytes, the ending's form and last word."""
-    tail = F.substring("text", -TAIL, TAIL)
     kind = docs.schema["key"].dataType.simpleString()
-    base = docs.select("key", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.when(tail.rlike(r"[^\s\u00a0\u200b\ufeff]"), tail).otherwise(F.col("text")).alias("tail")).filter(F.col("chars") > 0)
+    base = docs.select("key", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), last_line(F.col("text")).alias("line")).filter((F.col("chars") > 0) & (F.length("line") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, forms, words = [], [], []
-            for i, (tail, chars) in enumerate(zip(batch.column(4).to_pylist(), batch.column(2).to_pylist())):
-                line = last_line(tail, chars <= len(tail))
-                form = judge_line(line) if line.strip("\x00") else "end"
+            for i, line in enumerate(batch.column(4).to_pylist()):
+                line = line.strip(BLANKS)
+                form = judge_line(line) if line else "end"
                 if form != "end":
-                    m = LAST_WORD.search(line)
+                    word = last_word(line)
                     at.append(i)
                     forms.append(form)
-                    words.append(m.group().lower() if m else "")
+                    words.append(word if len(word) <= LONG_WORD else hashlib.md5(word.encode("utf-8")).hexdigest())
             spots = pa.array(at, type=pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(spots) for i in range(4)), pa.array(forms, type=pa.string()), pa.array(words, type=pa.string())], names=["key", "source", "chars", "bytes", "form", "word"])
 
     return base.mapInArrow(run, f"key {kind}, source string, chars int, bytes int, form string, word string")
 
 
-def truncated_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Columns (key, source, chars, evidence, at_limit) of each text that breaks off."""
+def truncated_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", fdr: float = FALSE_DISCOVERIES) -> DataFrame:
+    """Columns (key, source, chars, evidence, at_limit, odds) of each text that breaks off."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"))
-    hazards = length_hazards(lengths_of(docs)).filter("significant").select("source", "unit", "length")
+    excess = F.least(F.lit(LIMIT_ODDS), (F.col("texts") - F.col("expected")) / F.col("expected"))
+    limits = length_hazards(lengths_of(docs), fdr=fdr).filter("significant").withColumn("expected", F.col("near_hazard") * F.col("at_risk")).select(F.col("source").alias("s"), "unit", "length", excess.alias("excess"))
     judged = judge_endings(docs)
-    limits = hazards.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("byte_limits"))
-    at = judged.join(limits, judged["source"].eqNullSafe(limits["source"]), "left").select(
-        judged["*"], F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False)).alias("at_limit")
-    )
-    # One pass over the texts: endings that need no count meet no word, each spread by a key of its own.
+    # The odds by length: the greater of those of its code points and of its bytes.
+    for unit in ("chars", "bytes"):
+        own = limits.filter(F.col("unit") == unit).select(F.col("s").alias(f"{unit}_s"), F.col("length").alias(f"{unit}_l"), F.col("excess").alias(f"{unit}_odds"))
+        judged = judged.join(own, F.col("source").eqNullSafe(F.col(f"{unit}_s")) & (F.col(unit) == F.col(f"{unit}_l")), "left")
+    by_length = F.greatest("chars_odds", "bytes_odds")
+    # Texts without a last word meet none, each under a key of its own.
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("key"), F.lit(100_000)).cast("string"))
-    known = at.withColumn("word", F.when((F.col("form") == "line") & (F.col("word") != ""), F.col("word")).otherwise(spread)).join(closing_words(docs, "text"), "word", "left")
-    share = F.coalesce(F.col("closing") / F.col("places"), F.lit(0.0))
-    # A word met in no other place is a fragment of one at a limit; elsewhere it may as well be rare.
-    open_line = F.when(F.col("at_limit"), share < CLOSING_WEAK).otherwise((share < CLOSING_STRONG) & ((F.col("places") >= 20) | F.col("places").isNull()))
-    found = known.filter((F.col("form") != "line") | (open_line & ~F.col("word").startswith("\x00")))
-    return found.select(F.col("key").alias(key), "source", "chars", F.col("form").alias("evidence"), "at_limit")
+    at = judged.select("key", "source", "chars", "form", F.when(F.col("word") != "", F.col("word")).otherwise(spread).alias("word"), by_length.isNotNull().alias("at_limit"), F.coalesce(F.greatest(by_length, F.lit(TRANSFER_ODDS)), F.lit(TRANSFER_ODDS)).alias("by_length"))
+    counts = cut_lineage(closing_words(docs, "text"))
+    whole = counts.agg((F.sum("closing") / F.sum("places")).alias("base"))  # one row
+    known = at.join(counts, "word", "left").crossJoin(F.broadcast(whole))
+    inside = F.col("base") * (F.col("places") + 0.5) / (F.col("closing") + 0.5 * F.col("base"))
+    by_word = F.when(F.col("word").startswith("\x00"), 1.0).when(F.col("places").isNull() | (F.col("places") == 0), WORD_NEW).otherwise(F.greatest(F.lit(WORD_LEAST), F.least(F.lit(WORD_MOST), F.coalesce(inside, F.lit(1.0)))))
+    by_form = F.element_at(F.create_map(*[F.lit(x) for pair in FORM_RATIOS.items() for x in pair]), F.col("form"))
+    weighed = known.withColumn("odds", F.col("by_length") * by_form * by_word)
+    return weighed.filter("odds > 1").select(F.col("key").alias(key), "source", "chars", F.col("form").alias("evidence"), "at_limit", "odds")
 
 
 def truncation_by_source(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -57,3 +57,10 @@ def test_tables(spark):
     assert own == long and max(len(r.text) for r in cut) <= 1200
     assert [tuple(r) for r in oversized_items(split_oversized(df, "id", "text", "t")).orderBy("item_key").collect()] == [("t", "a"), ("t", "f")]
     assert split_oversized(df.limit(0), "id", "text", "t").count() == 0
+
+
+def test_a_shortened_redelivery_counts(spark):
+    long = "Palavra e mais palavra. " * 100
+    rows = [("a", long, 1), ("a", "curto", 6), ("b", "curto", 1), ("b", long, 6), ("c", long, 2), ("c", "curto", 2), ("d", long, 1), ("d", None, 2), ("e", long, None), ("e", "curto", 1)]
+    cut = split_oversized(spark.createDataFrame(rows, "id string, text string, at int"), "id", "text", "t", "at")
+    assert {r.item_key for r in oversized_items(cut).collect()} == {"b", "c"}

@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -35,6 +37,31 @@ def test_special_strings_are_ordinary_text_and_long_words_work(tools):
     assert ids(encoder, texts) == [plain.encode_ordinary(t) for t in texts]
 
 
+def test_very_long_words(tools):
+    encoder, plain = tools
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzãé") for _ in range(120_000))
+    texts = [word, "a" * 20_000, word[:5_000] + " fim", "ab " + word[:4_500]]
+    began = time.perf_counter()
+    assert [len(x) for x in ids(encoder, texts)] and time.perf_counter() - began < 30
+    assert ids(encoder, texts[1:]) == [plain.encode_ordinary(t) for t in texts[1:]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abetin stoç", min_size=1, max_size=80))
+def test_merging_takes_the_lowest_rank_first(tools, text):
+    ids_ = tools[0].encoder.ids
+    word = text.encode()
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        ranks = [(ids_[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids_]
+        if not ranks:
+            break
+        _, i = min(ranks)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    assert merge_exactly(word, ids_) == [ids_[p] for p in parts]
+
+
 def test_pairs_that_would_merge_are_found(tools):
     encoder = tools[0].encoder
     word = b"antidisestablishmentarianism"

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm.truncation import judge_line, last_line, length_hazards, lengths_of, truncated_texts, truncation_by_source
+from corpusloom.llm.truncation import closing_words, judge_line, last_line, last_word, length_hazards, lengths_of, truncated_texts, truncation_by_source
 
 
 @pytest.mark.parametrize(
@@ -35,8 +36,17 @@ def test_endings(line, form):
     assert judge_line(line) == form
 
 
-def test_last_line_skips_blanks():
-    assert last_line("um.\r\n\r\nAnexo II  \n", True) == "Anexo II"
+def test_last_line_is_whole_and_skips_blanks(spark):
+    texts = {"um.\r\n\r\nAnexo II  \n": "Anexo II", "a\n" + "b c " * 5_000: "b c " * 4_999 + "b c", " \n ": "", "só": "só", "x y​ ": "y"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", last_line(F.col("t")).alias("l")).collect()
+    assert {r.t: r.l for r in got} == texts
+    assert last_word("- um item inter-") == "inter-" and last_word("fim (2)!") == "2" and last_word("—") == "" and last_word("ét") == "ét"
+
+
+def test_words_of_any_length_are_counted(spark):
+    word = "y" * 5_000
+    got = {r.word: (r.places, r.closing) for r in closing_words(spark.createDataFrame([(f"{word}. {word} fim",)], "t string"), "t").collect()}
+    assert len(got) == 1 and list(got.values()) == [(2, 1)]
 
 
 def corpus(spark):
@@ -62,6 +72,26 @@ def test_limits_are_found_and_cut_texts_flagged(spark):
     assert share[None] == (2, 2) and share["livre"] == (200, 0) and share["fonte"] == (120, len(cut))
 
 
+def lists(spark):
+    """List items: whole ones anywhere, some cut at 300 code points, and long whole ones."""
+    item = "- manter a rotina de monitoramento do acervo em uso clínico"
+    rows = [(i, "\n".join([f"Lista {i}."] + [item] * (1 + i % 9)), "a") for i in range(300)]
+    rows += [(1000 + i, ("\n".join([f"Lista longa de número {i}, com itens."] + [item] * 9))[:300], "a") for i in range(30)]
+    rows += [(2000, "Lista.\n" + item, "b"), (2001, "Lista.\n- " + "manter a rotina; " * 300 + "rever o acervo em uso clínico", "b"), (2002, "Lista.\n- manter a rotina do", "b"), (2003, "Lista.\n- manter a rotina de monit", "b")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+def test_hazards_decide_weak_endings(spark):
+    docs = lists(spark)
+    found = {r.doc_id: r.at_limit for r in truncated_texts(docs).collect()}
+    without = {r.doc_id for r in truncated_texts(docs, fdr=-1.0).collect()}
+    cut = {r.doc_id for r in docs.collect() if 1000 <= r.doc_id < 2000 and not r.text.endswith("clínico")}
+    assert cut and cut <= set(found) and all(found[k] for k in cut)
+    # Outside the significant length a list item needs strong evidence; without hazards the cut ones stay hidden unless they have it.
+    assert not {2000, 2001} & set(found) and not set(found) & set(range(300))
+    assert without < set(found)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert truncated_texts(docs).count() == 0 == truncation_by_source(docs).count()
