@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +20,53 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("long")
 
 
+#: Bits of one MD5, and draws of 16 bits in it.
+BITS, DRAWS = 128, 8
+#: A draw of 16 bits counts as many as there are bounds up to it: 65,536 times the cumulated Poisson chances of mean 1.
+POISSON_BOUNDS = [round(65_536 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+#: Rows drawn at a time for all rounds.
+DRAW_ROWS = 64
+
+
+def _digests(keys: list, seed: str, groups: int) -> np.ndarray:
+    """MD5 of seed, group and key, as bytes: rows x groups x 16."""
+    raw = b"".join(hashlib.md5(f"{seed}|{g}|{k}".encode()).digest() for k in keys for g in range(groups))
+    return np.frombuffer(raw, dtype=np.uint8).reshape(len(keys), groups, 16)
+
+
+def _summed(rows: DataFrame, rounds: int, sums: Callable[[list, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """Of (key, x): for each round the named sums, added up where the rows lie before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(rounds) for _ in names]
+        met = False
+        for whole in batches:
+            for at in range(0, whole.num_rows, DRAW_ROWS):
+                part = whole.slice(at, DRAW_ROWS)
+                for t, s in zip(total, sums(part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False).astype(float))):
+                    t += s
+                met = True
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), *[pa.array(t) for t in total]], names=["round", *names])
+
+    parts = rows.mapInArrow(run, "round bigint, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("round").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def paired_randomization(diffs: DataFrame, rounds: int = 10_000, seed: str = "7") -> DataFrame:
     """Of (key, diff): mean, rounds at least as far from 0 with signs drawn anew, p = (count + 1) / (rounds + 1); 1 if all are 0.
 
-    Rounds are spread over the cluster and each is summed where it is drawn.
+    The sign of a round is a bit of the MD5 of seed, block of BITS rounds and key.  Rows without a difference do not count.
     """
-    spark = diffs.sparkSession
-    it = spark.range(rounds).select(F.col("id").alias("round"))
-    sign = F.when(draw(F.lit(seed), F.col("round"), F.col("key")) < 2**31, -1.0).otherwise(1.0)
-    signed = diffs.select("key", "diff").crossJoin(it).groupBy("round").agg(F.round(F.abs(F.avg(sign * F.col("diff"))), 9).alias("m"))  # rounds are a stated number
-    own = diffs.agg(F.avg("diff").alias("mean"), F.max(F.abs("diff")).alias("most"), F.count("*").alias("n"))
-    return signed.join(own).groupBy("mean", "most", "n").agg(F.count_if(F.col("m") >= F.round(F.abs("mean"), 9)).alias("c")).select("n", "mean", F.when(F.col("most") == 0, 1.0).otherwise((F.col("c") + 1) / (rounds + 1)).alias("p"))
+    rows = diffs.select(F.col("key").cast("string").alias("key"), F.col("diff").cast("double").alias("diff")).filter("diff IS NOT NULL")
+
+    def sums(keys: list, x: np.ndarray) -> list[np.ndarray]:
+        minus = np.unpackbits(_digests(keys, seed, -(-rounds // BITS)), axis=2).reshape(len(keys), -1)[:, :rounds]
+        return [x.sum() - 2 * (x @ minus)]
+
+    own = rows.agg(F.avg("diff").alias("mean"), F.max(F.abs("diff")).alias("most"), F.count("*").alias("n"))
+    signed = _summed(rows, rounds, sums, ["s"]).join(own)  # one row
+    return signed.groupBy("mean", "most", "n").agg(F.count_if(F.round(F.abs(F.col("s") / F.col("n")), 9) >= F.round(F.abs("mean"), 9)).alias("c")).select("n", "mean", F.when(F.col("most") == 0, 1.0).otherwise((F.col("c") + 1) / (rounds + 1)).alias("p"))
 
 
 def signed_ranks(diffs: DataFrame) -> DataFrame:
@@ -41,12 +83,21 @@ def signed_ranks(diffs: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(values: DataFrame, rounds: int = 10_000, seed: str = "7", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Of (i, x) with i from 0 to n - 1: the mean and its percentile interval over resamples drawn by hash."""
-    n = values.count()
-    it = values.sparkSession.range(rounds).select(F.col("id").alias("round"))
-    picks = it.select("round", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("slot")).select("round", F.pmod(draw(F.lit(seed), F.col("round"), F.col("slot")), F.lit(max(n, 1))).alias("i"))
-    means = picks.join(values, "i").groupBy("round").agg(F.avg("x").alias("m"))
-    own = values.agg(F.avg("x").alias("mean"))
+    """Of (key, x): the mean and its percentile interval over resamples.
+
+    How often a row is in a resample is drawn for itself, as a Poisson count of mean 1, from 16 bits of the MD5 of
+    seed, block of DRAWS rounds and key; so no round needs to know the rows, only sums are shuffled.
+    """
+    rows = values.select(F.col("key").cast("string").alias("key"), F.col("x").cast("double").alias("x")).filter("x IS NOT NULL")
+    bounds = np.array(POISSON_BOUNDS)
+
+    def sums(keys: list, x: np.ndarray) -> list[np.ndarray]:
+        pairs = _digests(keys, seed, -(-rounds // DRAWS)).reshape(len(keys), -1, 2)[:, :rounds].astype(np.int64)
+        times = np.searchsorted(bounds, pairs[..., 0] * 256 + pairs[..., 1], side="right").astype(float)
+        return [x @ times, times.sum(axis=0)]
+
+    means = _summed(rows, rounds, sums, ["s", "n"]).filter("n > 0").select((F.col("s") / F.col("n")).alias("m"))
+    own = rows.agg(F.avg("x").alias("mean"))
     return means.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high")).join(own)  # one row
 
 
@@ -124,10 +175,9 @@ def split_threshold(rows: DataFrame, loss: float = 0.1, steps: int = 1_000) -> D
     return b.join(chosen).groupBy("threshold").agg(F.avg(F.when(~F.col("positive"), low.cast("double"))).alias("refused"), F.avg(F.when(F.col("positive"), low.cast("double"))).alias("lost"))  # one row
 
 
-def upper_median(c: Column) -> Column:
-    """The element in the middle of the sorted values, the upper of two."""
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """Of a column: the element in the middle of the sorted values, the upper of two; values are counted, not collected."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def noninferior(low: Column, margin: float = 0.03) -> Column:

@@ -130,11 +130,7 @@ def c_reference_pages(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("document_id", "page", C.is_reference_page(F.col("lines")).alias("reference_like"))
 
 
-@query(
-    f"""WITH {PAGES}, b AS (SELECT document_id, page, lines, array_to_string(lines, chr(10)) AS body FROM pages), w AS (SELECT b.*, p.body AS previous FROM b LEFT JOIN b p ON p.document_id = b.document_id AND p.page + 1 = b.page)
-SELECT document_id, page, CASE WHEN coalesce(body, '') = '' THEN 'empty' WHEN length(body) > 180 THEN NULL WHEN len(list_filter(lines, lambda x: NOT {page_number_sql('x')})) = 0 THEN 'page_number' WHEN len(list_filter(lines, lambda x: NOT {noise_sql('x')})) = 0 THEN 'noise'
-WHEN body = previous THEN 'repeats_previous' WHEN len(lines) = 1 AND regexp_matches(body, '^(?:https?://|www\\.)[^ ]+$') THEN 'address' WHEN len(lines) = 1 AND length(body) <= 60 AND regexp_matches(body, '^[\\p{{Lu}}\\p{{N}} .,–-]+$') THEN 'heading_only' END AS reason FROM w"""
-)
+@query()
 def c_short_pages(spark: SparkSession, d: str) -> DataFrame:
     return C.noninformative_short_page(_pages(spark, d))
 
@@ -161,13 +157,8 @@ def c_audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return _audit(spark, d).groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "INDEXED").alias("indexed"), F.count_if(F.col("status") == "RAW_EMPTY").alias("raw_empty"), F.count_if(F.col("status") == "NONINFORMATIVE_REMOVED").alias("removed"))
 
 
-def _rules_sql(c: str) -> str:
-    for _, p, by in C.RULES:
-        c = f"regexp_replace({c}, '{p}', '{by}', 'g')"
-    return c
-
-
-@query(f"WITH {CHUNKS} SELECT id, {_rules_sql('text')} AS clean, {_rules_sql('text')} <> text AS changed, len(regexp_extract_all({_rules_sql('text')}, 'TABELA')) AS left_marks FROM chunks WHERE text IS NOT NULL")
+# DuckDB's patterns have no look-around, which the rules need.
+@query()
 def c_apply_rules(spark: SparkSession, d: str) -> DataFrame:
     clean = C.apply_rules(F.col("text"))
     return chunks(spark, d).filter("text IS NOT NULL").select("id", clean.alias("clean"), (clean != F.col("text")).alias("changed"), F.regexp_count(clean, F.lit("TABELA")).cast("long").alias("left_marks"))
@@ -239,10 +230,7 @@ def c_violations(spark: SparkSession, d: str) -> DataFrame:
     return C.violations(chunks(spark, d))
 
 
-@query(
-    f"""WITH {CHUNKS}, n AS (SELECT id, metadata.document_id AS doc, text, {_rules_sql('text')} AS clean FROM chunks WHERE text IS NOT NULL)
-SELECT id, CASE WHEN clean = text THEN id ELSE doc || '_' || left(sha256({collapse_sql('clean')}), 12) END AS new_id FROM n"""
-)
+@query()
 def c_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.functions.text import chunk_id
 

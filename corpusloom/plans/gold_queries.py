@@ -36,7 +36,7 @@ def b_quotes_in_passage(spark: SparkSession, d: str) -> DataFrame:
     return f.select("n", F.col("group_no").cast("long").alias("group_no"), F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("position", F.lit(0)).cast("long").alias("position"))
 
 
-_FOUND = f"""{QUOTES}, ft AS (SELECT n AS text_id, {fold_sql('passagem_texto')} AS t FROM qs), fq AS (SELECT DISTINCT quote, {fold_sql('quote')} AS q FROM quotes WHERE len(string_split({fold_sql('quote')}, ' ')) >= 5),
+_FOUND = f"""{QUOTES}, ft AS (SELECT n AS text_id, {fold_sql('passagem_texto')} AS t FROM qs), fq AS (SELECT DISTINCT quote, {fold_sql('quote')} AS q FROM quotes WHERE {fold_sql('quote')} <> ''),
 found AS (SELECT quote AS quote_id, text_id, instr(t, q) AS position FROM fq JOIN ft ON contains(t, q))"""
 
 

@@ -29,8 +29,9 @@ DIFFS = f"{GRADED}, diffs AS (SELECT a.qid AS key, round(round(a.ndcg, 6) - roun
 
 
 @query(
-    f"""WITH {DIFFS}, s AS (SELECT r.range AS round, round(abs(avg(CASE WHEN {draw_sql("'7'", 'r.range', 'key')} < 2147483648 THEN -diff ELSE diff END)), 9) AS m FROM diffs, range(1000) r GROUP BY 1),
-o AS (SELECT avg(diff) AS mean, max(abs(diff)) AS most, count(*) AS n FROM diffs) SELECT n, round(mean, 6) AS mean, round(CASE WHEN most = 0 THEN 1 ELSE ((SELECT count(*) FROM s WHERE m >= round(abs(mean), 9)) + 1) / 1001.0 END, 6) AS p FROM o"""
+    f"""WITH {DIFFS}, h AS (SELECT diff, g.range AS g, md5('7|' || g.range || '|' || key) AS h FROM diffs, range(79) g),
+s AS (SELECT g * 128 + b.range AS round, round(abs(avg(CASE WHEN (CAST('0x' || substr(h, CAST(b.range // 4 AS INT) + 1, 1) AS INT) >> CAST(3 - b.range % 4 AS INT)) & 1 = 1 THEN -diff ELSE diff END)), 9) AS m FROM h, range(128) b WHERE g * 128 + b.range < 10000 GROUP BY 1),
+o AS (SELECT avg(diff) AS mean, max(abs(diff)) AS most, count(*) AS n FROM diffs) SELECT n, round(mean, 6) AS mean, round(CASE WHEN most = 0 THEN 1 ELSE ((SELECT count(*) FROM s WHERE m >= round(abs(mean), 9)) + 1) / 10001.0 END, 6) AS p FROM o"""
 )
 def q_paired_randomization(spark: SparkSession, d: str) -> DataFrame:
     return _six(Q.paired_randomization(_diffs(spark, d)))
@@ -45,13 +46,13 @@ def q_signed_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DIFFS}, vals AS (SELECT row_number() OVER (ORDER BY key) - 1 AS i, diff AS x FROM diffs), pk AS (SELECT r.range AS round, {draw_sql("'7'", 'r.range', 's.range')} % (SELECT count(*) FROM vals) AS i FROM range(1000) r, range(10000) s WHERE s.range < (SELECT count(*) FROM vals)),
-m AS (SELECT round, avg(x) AS m FROM pk JOIN vals USING (i) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, (SELECT round(avg(x), 5) FROM vals) AS mean FROM m"""
+    f"""WITH {DIFFS}, h AS (SELECT diff AS x, g.range AS g, md5('7|' || g.range || '|' || key) AS h FROM diffs, range(1250) g),
+pk AS (SELECT x, g * 8 + b.range AS round, CAST('0x' || substr(h, CAST(b.range * 4 AS INT) + 1, 4) AS INT) AS u FROM h, range(8) b),
+c AS (SELECT round, x, list_sum(list_transform({Q.POISSON_BOUNDS}, lambda t: CASE WHEN u >= t THEN 1 ELSE 0 END)) AS times FROM pk),
+m AS (SELECT round, sum(times * x) / sum(times) AS m FROM c GROUP BY 1 HAVING sum(times) > 0) SELECT round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, (SELECT round(avg(diff), 5) FROM diffs) AS mean FROM m"""
 )
 def q_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    v = _diffs(spark, d).select((F.row_number().over(Window.orderBy("key")) - 1).alias("i"), F.col("diff").alias("x"))
+    v = _diffs(spark, d).select("key", F.col("diff").alias("x"))
     return Q.bootstrap_interval(v).select(*[F.round(c, 5).alias(c) for c in ("low", "high", "mean")])
 
 
@@ -122,9 +123,9 @@ def q_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SCORED}, h AS (SELECT least(greatest(floor(score * 100), 0), 100) AS k, positive, {draw_sql("'half'", 'key')} % 2 AS half FROM sc), s AS (SELECT g.range AS t, (SELECT count(*) FROM h WHERE half = 0 AND k < g.range AND NOT positive) AS rn, (SELECT count(*) FROM h WHERE half = 0 AND k < g.range AND positive) AS rp FROM range(1, 100) g),
+    f"""WITH {_SCORED}, h AS (SELECT least(greatest(floor(score * 1000), 0), 1000) AS k, positive, {draw_sql("'half'", 'key')} % 2 AS half FROM sc), s AS (SELECT g.range AS t, (SELECT count(*) FROM h WHERE half = 0 AND k < g.range AND NOT positive) AS rn, (SELECT count(*) FROM h WHERE half = 0 AND k < g.range AND positive) AS rp FROM range(1, 1000) g),
 c AS (SELECT -max(row(rn, -t))[2] AS t FROM s WHERE rp <= 0.1 * (SELECT count(*) FROM h WHERE half = 0 AND positive))
-SELECT t / 100.0 AS threshold, round(avg(CASE WHEN k < t THEN 1.0 ELSE 0 END) FILTER (NOT positive), 6) AS refused, round(avg(CASE WHEN k < t THEN 1.0 ELSE 0 END) FILTER (positive), 6) AS lost FROM h, c WHERE half = 1 GROUP BY t"""
+SELECT t / 1000.0 AS threshold, round(avg(CASE WHEN k < t THEN 1.0 ELSE 0 END) FILTER (NOT positive), 6) AS refused, round(avg(CASE WHEN k < t THEN 1.0 ELSE 0 END) FILTER (positive), 6) AS lost FROM h, c WHERE half = 1 GROUP BY t"""
 )
 def q_split_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _six(Q.split_threshold(_scored(spark, d)))
@@ -133,7 +134,7 @@ def q_split_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT source, list(n_chars ORDER BY n_chars) AS l FROM documents WHERE n_chars IS NOT NULL GROUP BY 1) SELECT source, CAST(l[len(l) // 2 + 1] AS BIGINT) AS upper_median, CAST(l[1] AS BIGINT) AS least, CAST(l[-1] AS BIGINT) AS most FROM s")
 def q_group_medians(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("n_chars IS NOT NULL").withColumn("n", F.col("n_chars").cast("long"))
-    return docs.groupBy("source").agg(Q.upper_median(F.col("n")).alias("upper_median"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return docs.groupBy("source").agg(Q.upper_median("n").alias("upper_median"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 @query(f"WITH {DIFFS} SELECT count(*) AS n, avg(diff) - stddev_samp(diff) > -0.03 AS noninferior FROM diffs")

@@ -88,11 +88,11 @@ def r_compare_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LISTS}, e AS (SELECT qid, unnest(c.e) AS x, generate_subscripts(c.e, 1) AS i FROM ranked JOIN n c USING (id) WHERE rank <= 5), m AS (SELECT qid, i, avg(x) AS x FROM e GROUP BY ALL),
-mv AS (SELECT m.qid, i, n.e[i] + 0.5 * m.x AS y FROM m JOIN n ON n.id = m.qid), nv AS (SELECT qid, list(y ORDER BY i) AS y, sqrt(sum(y * y)) AS s FROM mv GROUP BY 1) SELECT qid, round(y[1] / s, 6) AS first, round(y[64] / s, 6) AS last FROM nv""")
+mv AS (SELECT m.qid, i, n.e[i] + 0.5 * m.x AS y FROM m JOIN n ON n.id = m.qid), nv AS (SELECT qid, list(y ORDER BY i) AS y, sqrt(sum(y * y)) AS s FROM mv GROUP BY 1) SELECT qid, unnest(list_transform(y, lambda e: round(e / s, 6))) AS x, CAST(generate_subscripts(y, 1) AS BIGINT) AS i FROM nv""")
 def r_feedback(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     f = D.feedback(asking(v), ranked(spark, d), v)
-    return f.select("qid", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+    return f.select("qid", F.posexplode("vector").alias("i", "x")).select("qid", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query("WITH e AS (SELECT label, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i, round(avg(x), 6) AS x FROM e GROUP BY label, i")
@@ -101,18 +101,18 @@ def r_mean_vectors(spark: SparkSession, d: str) -> DataFrame:
     return m.select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {LISTS}, {QRELS}, rq AS (SELECT DISTINCT qid, id % 20 AS document FROM qrels WHERE grade = 2), h AS (SELECT qid, document, id, rank, row_number() OVER (PARTITION BY qid, document ORDER BY score DESC, id) AS inside FROM ranked JOIN rq USING (qid, document)) SELECT * FROM h WHERE inside <= 5")
+@query(f"""WITH {LISTS}, {QRELS}, rq AS (SELECT DISTINCT qid, id % 20 AS document FROM qrels WHERE grade = 2), a AS (SELECT qid, id, f AS score, id % 20 AS document, row_number() OVER (PARTITION BY qid ORDER BY f DESC, id) AS rank FROM pr),
+h AS (SELECT qid, document, id, rank, row_number() OVER (PARTITION BY qid, document ORDER BY score DESC, id) AS inside FROM a JOIN rq USING (qid, document)) SELECT * FROM h WHERE inside <= 5""")
 def r_routed(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).withColumn("document", F.col("id") % 20)
     required = qrels(spark, d).filter("grade = 2").select("qid", (F.col("id") % 20).alias("document")).distinct()
-    return D.routed(ranked(spark, d), required)
+    return D.routed(asking(v), v, required)
 
 
-@query(f"WITH {LISTS}, {QRELS} SELECT qid, id, (SELECT count(*) FROM ranked r WHERE r.qid = q.qid AND r.score > x.score) + 1 AS place FROM qrels q JOIN ranked x USING (qid, id) WHERE grade = 2")
+@query(f"WITH {LISTS}, {QRELS}, a AS (SELECT qid, id, rank() OVER (PARTITION BY qid ORDER BY f DESC) AS place FROM pr) SELECT qid, id, place FROM a JOIN qrels USING (qid, id) WHERE grade = 2")
 def r_rank_of(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.rank().over(Window.partitionBy("qid").orderBy(F.col("score").desc()))
-    return ranked(spark, d).withColumn("place", place).join(qrels(spark, d).filter("grade = 2"), ["qid", "id"]).select("qid", "id", F.col("place").cast("long").alias("place"))
+    v = vectors(spark, d)
+    return D.places(qrels(spark, d).filter("grade = 2"), asking(v), v).select("qid", "id", (F.col("higher") + 1).alias("place"))
 
 
 _RRF = f"{LISTS}, rs AS (SELECT qid, id, round(sum(1.0 / (30 + rank)), 9) AS score FROM lists GROUP BY ALL), rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM rs)"

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -40,7 +41,7 @@ def test_paired_tests(spark):
     zero = spark.createDataFrame([(i, 0.0) for i in range(5)], "key int, diff double")
     assert one(Q.paired_randomization(d, 300)).p < 0.02 and one(Q.paired_randomization(zero, 50)).p == 1
     assert one(Q.signed_ranks(d)).p < 0.01 and one(Q.signed_ranks(d)).w == 78
-    v = d.select(F.col("key").alias("i"), F.col("diff").alias("x"))
+    v = d.select("key", F.col("diff").alias("x"))
     r = one(Q.bootstrap_interval(v, 200))
     assert r.low < r["mean"] < r.high
 
@@ -48,12 +49,37 @@ def test_paired_tests(spark):
 def test_rounds_and_thresholds_are_the_whole_grid(spark):
     d = spark.createDataFrame([(i, 0.1 + i / 100) for i in range(20)], "key int, diff double")
     assert one(Q.paired_randomization(d)).p < 1 / 1001
-    v = d.select(F.col("key").alias("i"), F.col("diff").alias("x"))
+    v = d.select("key", F.col("diff").alias("x"))
     assert one(Q.bootstrap_interval(v)) == one(Q.bootstrap_interval(v, 10_000)) != one(Q.bootstrap_interval(v, 1_000))
     s = spark.createDataFrame([(i, 0.4105 if i % 2 else 0.4155, i % 2 == 0) for i in range(200)], "key int, score double, positive boolean")
     assert one(Q.split_threshold(s)).asDict() == {"threshold": pytest.approx(0.411), "refused": 1.0, "lost": 0.0}
 
 
+def test_resamples_are_sums_over_all_rows(spark):
+    rows = [(f"k{i}", math.sin(i)) for i in range(150)] + [("null", None)]
+    df = spark.createDataFrame(rows, "key string, x double")
+    a, b = one(Q.bootstrap_interval(df.repartition(7), 500)), one(Q.bootstrap_interval(df.coalesce(1), 500))
+    values = [x for _, x in rows if x is not None]
+    mean = sum(values) / len(values)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in values)) / len(values)
+    assert a.low == pytest.approx(b.low) and a.high == pytest.approx(b.high) and a["mean"] == pytest.approx(mean)
+    assert a.low == pytest.approx(mean - 1.96 * sd, abs=sd / 3) and a.high == pytest.approx(mean + 1.96 * sd, abs=sd / 3)
+    diffs = df.withColumnRenamed("x", "diff")
+    r = one(Q.paired_randomization(diffs, 400))
+
+    def sign(k, at):
+        digest = hashlib.md5(f"7|{at // 128}|{k}".encode()).digest()
+        return -1 if digest[at % 128 // 8] >> (7 - at % 8) & 1 else 1
+
+    far = sum(round(abs(sum(sign(k, at) * x for k, x in rows if x is not None) / 150), 9) >= round(abs(mean), 9) for at in range(400))
+    assert r.n == 150 and r.p == pytest.approx((far + 1) / 401)
+
+
+@pytest.mark.parametrize(("values", "want"), [([3, 1, 2], 2), ([4, 1, 3, 2], 3), ([5, 5, 5, 1], 5), ([7], 7)])
+def test_upper_median(spark, values, want):
+    assert one(spark.createDataFrame([(v,) for v in values], "v bigint").agg(Q.upper_median("v").alias("m"))).m == want
+
+
 def scores(spark, rows):
     return spark.createDataFrame(rows, "item string, judge string, score int")
 
