@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, signals
 from corpusloom.operators.statistics import draw
+from corpusloom.session import cut_lineage
 
 #: Words in a row that join a quotation to the texts that may hold it: quotations of ten words and more, shorter ones.
 LONG_GRAM, SHORT_GRAM = 8, 3
 #: Characters of a word that join a quotation of one to four words to the words that may hold it.
 PART = 8
+#: Most hashes of quotations, 8 bytes each, that are sent to the workers to drop other runs before they are shuffled.
+FEW_GRAMS = 500_000
+
+
+def _gram(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
 
 
 def _grams(t: DataFrame, n: int) -> DataFrame:
+    """Columns (text_id, gram): the hash of every run of n words of each text, once."""
     w = F.col("w")
-    return t.select("text_id", F.split("t", " ").alias("w")).select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("gram"))
+    return t.select("text_id", F.split("t", " ").alias("w")).select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: _gram(F.slice(w, i, n))))).alias("gram"))
+
+
+def _sent_if_few(keys: DataFrame, most: int = FEW_GRAMS) -> DataFrame:
+    """Keys marked to be sent to every worker if there are at most so many; else as they are."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def _word_hits(t: DataFrame, q: DataFrame) -> DataFrame:
@@ -48,8 +61,9 @@ def containment(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     long, few = F.size("w") >= LONG_GRAM + 2, F.size("w") < SHORT_GRAM + 2
     hits = [_word_hits(t, q.filter(few))]
     for n, which in ((LONG_GRAM, long), (SHORT_GRAM, ~long & ~few)):
-        own = q.filter(which).select("quote_id", "q", F.array_join(F.slice("w", 2, n), " ").alias("gram"))
-        hits.append(_grams(t, n).join(own, "gram").select("text_id", "quote_id", "q"))
+        own = q.filter(which).select("quote_id", "q", _gram(F.slice("w", 2, n)).alias("gram"))
+        met = _grams(t, n).join(_sent_if_few(own.select("gram").distinct()), "gram", "left_semi")
+        hits.append(met.join(own, "gram").select("text_id", "quote_id", "q"))
     return hits[0].union(hits[1]).union(hits[2]).join(t, "text_id").filter(F.col("t").contains(F.col("q"))).select("quote_id", "text_id", F.instr("t", F.col("q")).alias("position")).distinct()
 
 
@@ -138,16 +152,29 @@ def rejection(question: Column, answer: Column, quotes: Column, passage: Column)
 def reanchor(old: DataFrame, new: DataFrame) -> DataFrame:
     """Where each old chunk (id, document, text) lies in a new corpus: by id, by equal text, by being contained, by containing; else lost.
 
-    Stages are joins on id, on text hash and on document; only what a stage leaves reaches the next.
+    Only what a stage leaves reaches the next.  The stages of equal texts join on id and on text hash; those of
+    containing texts are containment joins by word runs, of different texts, whose pairs are then held to one
+    document.  No stage compares all pairs of a document.
     """
-    o = old.select("id", "document", fold(F.col("text")).alias("t")).withColumn("h", F.xxhash64("t"))
-    n = new.select(F.col("id").alias("new_id"), "document", fold(F.col("text")).alias("u")).withColumn("h", F.xxhash64("u"))
+    o = cut_lineage(old.select("id", "document", fold(F.col("text")).alias("t")).withColumn("h", F.xxhash64("t")))
+    n = cut_lineage(new.select(F.col("id").alias("new_id"), "document", fold(F.col("text")).alias("u")).withColumn("h", F.xxhash64("u")))
     same = o.join(n, (o["id"] == n["new_id"]) & (o["t"] == n["u"])).select("id", "new_id", F.lit("id").alias("how"))
     rest = o.join(same, "id", "left_anti")
-    equal = rest.join(n.drop("document"), "h").filter("t = u AND t <> ''").select("id", "new_id", F.lit("text").alias("how"))
-    rest = rest.join(equal, "id", "left_anti")
-    part = rest.filter("t <> ''").join(n.drop("h"), "document").filter("u <> ''")
-    within = part.filter(F.col("u").contains(F.col("t")) | F.col("t").contains(F.col("u"))).select("id", "new_id", F.when(F.col("u").contains(F.col("t")), "contained").otherwise("contains").alias("how"))
+    equal = rest.join(n.select("new_id", "u", "h"), "h").filter("t = u AND t <> ''").select("id", "new_id", F.lit("text").alias("how"))
+    rest = cut_lineage(rest.join(equal, "id", "left_anti").filter("t <> ''"))
+    # Different texts of each document, under their hashes.
+    left = rest.groupBy("document", "h").agg(F.first("t").alias("t"))
+    right = n.filter("u <> ''").groupBy("document", "h").agg(F.first("u").alias("t"))
+
+    def holds(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """Columns (document, in_h, out_h): texts that stand in others of their document."""
+        key = F.struct("document", "h")
+        pairs = containment(inner.select(key.alias("quote_id"), F.col("t").alias("quote")), outer.select(key.alias("text_id"), F.col("t").alias("text")))
+        return pairs.filter("quote_id.document = text_id.document").select(F.col("quote_id.document").alias("document"), F.col("quote_id.h").alias("in_h"), F.col("text_id.h").alias("out_h"))
+
+    contained = holds(left, right).select("document", F.col("in_h").alias("h"), F.col("out_h").alias("new_h"), F.lit("contained").alias("how"))
+    contains = holds(right, left).select("document", F.col("out_h").alias("h"), F.col("in_h").alias("new_h"), F.lit("contains").alias("how"))
+    within = contained.union(contains).join(n.select("document", "new_id", F.col("h").alias("new_h")), ["document", "new_h"]).join(rest.select("id", "document", "h"), ["document", "h"]).select("id", "new_id", "how")
     rank = F.when(F.col("how") == "contained", 0).otherwise(1)
     best = within.withColumn("r", F.dense_rank().over(Window.partitionBy("id").orderBy(rank))).filter("r = 1").drop("r")
     found = same.union(equal).union(best).groupBy("id").agg(F.min("new_id").alias("new_id"), F.min("how").alias("how"), F.count_distinct("new_id").alias("candidates"))

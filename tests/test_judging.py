@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,21 @@ def test_reanchoring(spark):
     assert got == {"a": ("a", "id"), "b": ("n", "text"), "c": ("m", "contained"), "e": (None, "lost")}
 
 
+def test_reanchoring_against_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["norma", "ficha", "dado", "prazo", "auditor", "a", "de", "registro"])
+    texts = [" ".join(word() for _ in range(rng.choice([1, 3, 6, 12, 30]))) for _ in range(60)]
+    old = [(f"o{i}", f"d{i % 3}", t) for i, t in enumerate(texts)]
+    new = [(f"n{i}", f"d{i % 3}", " ".join(t.split()[1:]) if i % 2 else "novo " + t + " fim") for i, t in enumerate(texts)] + [("blank", "d0", " "), ("null", "d1", None)]
+    got = {r.id: (r.how, r.candidates) for r in B.reanchor(spark.createDataFrame(old, "id string, document string, text string"), spark.createDataFrame(new, "id string, document string, text string")).collect()}
+    for key, doc, t in old:
+        equal = {k for k, _, u in new if u == t}
+        inside = {k for k, e, u in new if e == doc and u and u.strip() and t in u}
+        holds = {k for k, e, u in new if e == doc and u and u.strip() and u in t}
+        want = ("text", len(equal)) if equal else ("contained", len(inside)) if inside else ("contains", len(holds)) if holds else ("lost", 0)
+        assert got[key] == want, (key, t)
+
+
 def test_nearest_boundary(spark):
     p = spark.createDataFrame([("k", 5), ("k", 100), ("k", 0), ("z", 1)], "key string, x bigint")
     b = spark.createDataFrame([("k", 2), ("k", 8), ("k", 50)], "key string, at bigint")
