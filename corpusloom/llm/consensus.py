@@ -31,7 +31,7 @@ SPELLINGS = {"S": ["s", "sim", "si", "yes", "suficiente"], "PARCIAL": ["parcial"
 #: Tilts are sent to every worker, 72 bytes an annotator.
 MAX_ANNOTATORS = 1_000_000
 #: Most rounds, and the move of a tilt under which the model has settled.
-ROUNDS, INNER, SETTLED = 60, 6, 0.01
+ROUNDS, INNER, SETTLED = 60, 6, 0.03
 #: Weights of the squared tilts of annotators and of items.
 ANNOTATOR_WEIGHT, ITEM_WEIGHT = 2.0, 4.0
 
