@@ -187,6 +187,14 @@ def references_span(pages: DataFrame) -> DataFrame:
     return start.join(stop, "document_id", "left")
 
 
+def cut_references(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pages (document_id, page, lines) of the documents in spans without the lines from the start of the bibliography to the page it has ended on."""
+    j = pages.join(spans, "document_id")
+    first = F.slice("lines", F.lit(1), F.col("start_line").cast("int"))
+    within = (F.col("page") > F.col("start_page")) & (F.col("end_page").isNull() | (F.col("page") < F.col("end_page")))
+    return j.select("document_id", "page", F.when(F.col("page") == F.col("start_page"), first).when(within, F.array().cast("array<string>")).otherwise(F.col("lines")).alias("lines"))
+
+
 def is_reference_page(lines: Column) -> Column:
     real = F.filter(lines, lambda x: ~is_page_number(x))
     numbered, address, published = _many(real, ENTRY), _many(real, ADDRESS), _many(real, PUBLISHED)

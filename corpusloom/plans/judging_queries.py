@@ -134,7 +134,7 @@ def q_split_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT source, list(n_chars ORDER BY n_chars) AS l FROM documents WHERE n_chars IS NOT NULL GROUP BY 1) SELECT source, CAST(l[len(l) // 2 + 1] AS BIGINT) AS upper_median, CAST(l[1] AS BIGINT) AS least, CAST(l[-1] AS BIGINT) AS most FROM s")
 def q_group_medians(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("n_chars IS NOT NULL").withColumn("n", F.col("n_chars").cast("long"))
-    return docs.groupBy("source").agg(Q.upper_median("n").alias("upper_median"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return docs.groupBy("source").agg(Q.upper_median("n").cast("long").alias("upper_median"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 @query(f"WITH {DIFFS} SELECT count(*) AS n, avg(diff) - stddev_samp(diff) > -0.03 AS noninferior FROM diffs")

@@ -14,7 +14,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_sheet(df: DataFrame, path: str, separator: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", separator).option("escape", '"').csv(path)
+    """Blanks at the ends of values are kept; an empty value is read back as null."""
+    df.write.mode("overwrite").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("header", True).option("sep", separator).option("escape", '"').csv(path)
 
 
 def merge_corpora(*parts: DataFrame) -> DataFrame:
@@ -38,6 +39,38 @@ def pending(new: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     return new.join(stored.select(key), key, "left_anti")
 
 
+def resume(rows: DataFrame, done: str, schema: str, key: str = "qid") -> DataFrame:
+    """The rows whose key is not among the lines of JSON already in a folder; a line cut off by a crash counts as not there."""
+    spark = rows.sparkSession
+    try:
+        have = spark.read.schema(f"{schema}, broken string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="broken").json(done)
+        have = have.filter(F.col("broken").isNull() & F.col(key).isNotNull()).select(key).distinct()
+    except AnalysisException:
+        return rows
+    return rows.join(have, key, "left_anti")
+
+
+def overwrite_with_backup(df: DataFrame, path: str, stamp: str) -> str | None:
+    """Writes df as Parquet to a path; what stood there moves to `path.stamp`, whose name is returned, before the new rows take its place.
+
+    The new rows are whole before anything is moved, so a failure leaves the old ones where they were.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    fresh, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    files = old.getFileSystem(conf)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    kept = f"{path}.{stamp}" if files.exists(old) else None
+    require_move = lambda a, b: files.rename(a, b) or _fail(f"cannot move {a.toString()}")
+    if kept:
+        require_move(old, jvm.org.apache.hadoop.fs.Path(kept))
+    require_move(fresh, old)
+    return kept
+
+
+def _fail(problem: str) -> None:
+    raise OSError(problem)
+
+
 class Store:
     """Versions of a table under one folder, of which one is served; a pointer file names it.
 

@@ -136,3 +136,10 @@ def test_validation_and_reconciliation(spark):
     assert {(r.id, r.problem) for r in C.violations(c).collect()} == {("b", "empty_text"), ("b", "no_title"), ("b", "pdf_without_page")}
     m = spark.createDataFrame([("d.pdf",), ("d",), ("f.pdf",)], "filename string")
     assert {tuple(r) for r in C.reconcile(m, c).collect()} == {("d", "registered_twice"), ("f", "without_chunks"), ("e", "not_registered")}
+
+
+def test_references_are_cut(spark):
+    pages = spark.createDataFrame([("d", 1, ["a"]), ("d", 2, ["b", "Referências", "x"]), ("d", 3, ["y"]), ("d", 4, ["Anexo"]), ("e", 1, ["z", "References", "r"]), ("e", 2, ["s"]), ("f", 1, ["k"])], "document_id string, page int, lines array<string>")
+    spans = spark.createDataFrame([("d", 2, 1, 4), ("e", 1, 1, None)], "document_id string, start_page int, start_line int, end_page int")
+    got = {(r.document_id, r.page): r.lines for r in C.cut_references(pages, spans).collect()}
+    assert got == {("d", 1): ["a"], ("d", 2): ["b"], ("d", 3): [], ("d", 4): ["Anexo"], ("e", 1): ["z"], ("e", 2): []}

@@ -90,3 +90,24 @@ def test_streams(spark, tmp_path):
     c = I.windowed_counts(stream, "t", "d").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     c.awaitTermination()
     assert sorted(r.events for r in spark.table("counts").collect()) == [1, 2]
+
+
+def test_work_resumes_after_a_crash(spark, tmp_path):
+    rows = spark.createDataFrame([(f"q{i}",) for i in range(5)], "qid string")
+    assert K.resume(rows, str(tmp_path / "none"), "qid string, answer string").count() == 5
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done" / "a.json").write_text('{"qid": "q0", "answer": "x"}\n{"qid": "q1", "answer": "y"}\n{"qid": "q2", "ans')
+    assert {r.qid for r in K.resume(rows, str(tmp_path / "done"), "qid string, answer string").collect()} == {"q2", "q3", "q4"}
+
+
+def test_overwriting_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert K.overwrite_with_backup(spark.range(3), path, "t1") is None
+    kept = K.overwrite_with_backup(spark.read.parquet(path).filter("id > 0"), path, "t2")
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(kept).count() == 3
+
+
+def test_sheets_keep_blanks_and_nulls(spark, tmp_path):
+    rows = [(" a ", None), ("b;c", "e"), ('say "x"', "d ")]
+    K.write_sheet(spark.createDataFrame(rows, "a string, b string"), str(tmp_path / "s"), ";")
+    assert sorted((r.a, r.b) for r in S.read_sheet(spark, str(tmp_path / "s"), ";").collect()) == sorted(rows, key=lambda r: r[0])
