@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import collapse
+from corpusloom.operators.gold import nearest_boundary
+from corpusloom.session import cut_lineage
 
 SIZE, OVERLAP, LEAST = 1_200, 200, 300
 SEPARATORS = ["\n\n", "\n", ". ", "; ", ", ", " "]
@@ -145,15 +147,22 @@ def semantic_breaks(sentences: DataFrame, share: float = 0.25, least: int = 300,
 
 
 def neutral_windows(rows: DataFrame, key: str, text: str, target: int = 2_600, seed: str = "0") -> DataFrame:
-    """Columns (key, start, stop): windows of about `target` characters from a seeded offset, moved to the nearest sentence ends."""
+    """Columns (key, start, stop): windows of about `target` characters from a seeded offset, moved to the nearest sentence ends.
+
+    Planned edges and sentence ends of a text meet in one sorted pass; neither carries the text.
+    """
     base = rows.select(F.col(key).alias("key"), collapse(F.col(text)).alias("t")).filter(F.length("t") > target)
-    pieces = F.split(F.regexp_replace("t", r"([.!?]) ", "$1 \x01"), "\x01")
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.length(x))))
+    sizes = F.transform(F.split(F.regexp_replace("t", r"([.!?]) ", "$1 \x01"), "\x01"), lambda x: F.length(x))
     offset = F.conv(F.left(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col("key").cast("string"))), F.lit(7)), 16, 10).cast("long") % F.lit(target)
-    planned = base.withColumn("ends", ends).withColumn("plan", F.explode(F.sequence(offset, F.length("t").cast("long"), F.lit(target).cast("long"))))
-    near = lambda x: F.array_min(F.transform("ends", lambda e: F.struct(F.abs(e - x).cast("long").alias("far"), e.cast("long").alias("at"))))["at"]
-    spans = planned.select("key", near(F.col("plan")).alias("start"), near(F.least(F.col("plan") + target, F.length("t").cast("long"))).alias("stop"))
-    return spans.filter("stop > start").distinct()
+    light = cut_lineage(base.select("key", F.length("t").cast("long").alias("n"), offset.alias("offset"), sizes.alias("sizes")))
+    ends = light.select("key", F.posexplode("sizes").alias("i", "size"))
+    ends = ends.select("key", F.sum("size").over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("at"))
+    boundaries = ends.union(light.select("key", F.lit(0).cast("long")))
+    planned = light.select("key", F.explode(F.sequence("offset", "n", F.lit(target).cast("long"))).alias("a"), "n").select("key", "a", F.least(F.col("a") + target, "n").alias("b")).distinct()
+    near = cut_lineage(nearest_boundary(planned.select("key", F.col("a").alias("x")).union(planned.select("key", "b")), boundaries))
+    start = near.select("key", F.col("x").alias("a"), F.col("at").alias("start"))
+    stop = near.select("key", F.col("x").alias("b"), F.col("at").alias("stop"))
+    return planned.join(start, ["key", "a"]).join(stop, ["key", "b"]).filter("stop > start").select("key", "start", "stop").distinct()
 
 
 def size_statistics(chunks: DataFrame, by: str, chars: str = "chars") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.metrics import normal_cdf
+from corpusloom.session import cut_lineage
 
 
 def draw(*parts: Column | str) -> Column:
@@ -69,12 +70,26 @@ def paired_randomization(diffs: DataFrame, rounds: int = 10_000, seed: str = "7"
     return signed.groupBy("mean", "most", "n").agg(F.count_if(F.round(F.abs(F.col("s") / F.col("n")), 9) >= F.round(F.abs("mean"), 9)).alias("c")).select("n", "mean", F.when(F.col("most") == 0, 1.0).otherwise((F.col("c") + 1) / (rounds + 1)).alias("p"))
 
 
+def before(rows: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
+    """Rows with the sums of columns over all rows before them in the order of `by`, which tells every row apart; sums: new name -> column.
+
+    Rows are spread by ranges of the order, summed in each range, and moved on by what the ranges before hold;
+    only one row a range meets in one task.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*[F.col(c) for c in by]).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    moved = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
+    own = ranged.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return own.join(F.broadcast(moved), "_range").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def signed_ranks(diffs: DataFrame) -> DataFrame:
     """Wilcoxon's test of (key, diff): zeros dropped, mean ranks for ties, two-sided normal approximation with tie correction."""
     d = diffs.filter("diff <> 0").withColumn("a", F.round(F.abs("diff"), 9))
     sizes = d.groupBy("a").agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("up"))
-    upto = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)  # one row for each different size of a difference
-    r = sizes.withColumn("rank", F.coalesce(F.sum("t").over(upto), F.lit(0)) + (F.col("t") + 1) / 2)
+    r = before(sizes, ["a"], {"upto": "t"}).withColumn("rank", F.col("upto") + (F.col("t") + 1) / 2)
     s = r.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n = F.col("n")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
@@ -104,8 +119,7 @@ def bootstrap_interval(values: DataFrame, rounds: int = 10_000, seed: str = "7",
 def cliffs_delta(rows: DataFrame) -> DataFrame:
     """Of (side, x) with sides a and b: the share of pairs a > b less that of a < b, by cumulated counts instead of pairs."""
     c = rows.groupBy("x").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)  # one row for each different value
-    below = c.withColumn("under", F.coalesce(F.sum("b").over(w), F.lit(0)))
+    below = before(c, ["x"], {"under": "b"})
     s = below.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * (2 * F.col("under") + F.col("b"))).alias("s"))
     return s.select("na", "nb", (F.col("s") / (F.col("na") * F.col("nb")) - 1).alias("delta"))
 
@@ -131,7 +145,8 @@ def corrections(tests: DataFrame, by: str | None = None) -> DataFrame:
 
 def step_up_cutoff(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """How many tests the step-up rule rejects, the largest p among them, and Bonferroni's threshold."""
-    t = tests.withColumns({"i": F.row_number().over(Window.orderBy("p", "name")), "m": F.count("*").over(Window.partitionBy())})
+    placed = before(tests.withColumn("one", F.lit(1).cast("long")), ["p", "name"], {"i": "one"}).withColumn("i", F.col("i") + 1)
+    t = placed.crossJoin(F.broadcast(tests.agg(F.count("*").alias("m"))))  # one row
     ok = F.col("p") <= F.col("i") / F.col("m") * alpha
     return t.agg(F.coalesce(F.max(F.when(ok, F.col("i"))), F.lit(0)).alias("rejected"), F.max(F.when(ok, F.col("p"))).alias("cutoff"), (F.lit(alpha) / F.max("m")).alias("bonferroni"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,11 @@ def test_neutral_windows_end_at_sentences(spark):
     out = G.neutral_windows(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").collect()
     clean = text.strip()
     assert out and all(r.stop == len(clean) or clean[r.stop - 2] == "." for r in out)
+    offset = int(hashlib.md5(b"0|1").hexdigest()[:7], 16) % 2_600
+    ends = [0, *(i + 2 for i, c in enumerate(clean[:-1]) if c == "."), len(clean)]
+    near = lambda x: min(ends, key=lambda e: (abs(e - x), e))
+    want = {(near(a), near(min(a + 2_600, len(clean)))) for a in range(offset, len(clean) + 1, 2_600)}
+    assert {(r.start, r.stop) for r in out} == {w for w in want if w[1] > w[0]}
 
 
 @settings(max_examples=100, deadline=None)

@@ -76,6 +76,14 @@ def test_resamples_are_sums_over_all_rows(spark):
     assert r.n == 150 and r.p == pytest.approx((far + 1) / 401)
 
 
+def test_sums_over_all_rows_before(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 9)) for i in rng.sample(range(10_000), 500)]
+    got = {r.k: r.s for r in Q.before(spark.createDataFrame(rows, "k bigint, v bigint").repartition(6), ["k"], {"s": "v"}).collect()}
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
+    assert Q.before(spark.createDataFrame([], "k bigint, v bigint"), ["k"], {"s": "v"}).count() == 0
+
+
 @pytest.mark.parametrize(("values", "want"), [([3, 1, 2], 2), ([4, 1, 3, 2], 3), ([5, 5, 5, 1], 5), ([7], 7)])
 def test_upper_median(spark, values, want):
     assert one(spark.createDataFrame([(v,) for v in values], "v bigint").agg(Q.upper_median("v").alias("m"))).m == want
