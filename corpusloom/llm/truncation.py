@@ -187,7 +187,7 @@ def lengths_of(docs: DataFrame, text: str = "text", source: str = "source") -> D
 def judge_endings(docs: DataFrame) -> DataFrame:
     """From (key, source, text): each text whose ending may be none, with chars, bytes, the ending's form and last word."""
     kind = docs.schema["key"].dataType.simpleString()
-    base = docs.select("key", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), last_line(F.col("text")).alias("line")).filter((F.col("chars") > 0) & (F.length("line") > 0))
+    base = docs.select("key", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), last_line(F.col("text")).alias("line")).filter("chars > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,11 +212,10 @@ def truncated_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     excess = F.least(F.lit(LIMIT_ODDS), (F.col("texts") - F.col("expected")) / F.col("expected"))
     limits = length_hazards(lengths_of(docs), fdr=fdr).filter("significant").withColumn("expected", F.col("near_hazard") * F.col("at_risk")).select(F.col("source").alias("s"), "unit", "length", excess.alias("excess"))
     judged = judge_endings(docs)
-    # The odds by length: the greater of those of its code points and of its bytes.
-    for unit in ("chars", "bytes"):
-        own = limits.filter(F.col("unit") == unit).select(F.col("s").alias(f"{unit}_s"), F.col("length").alias(f"{unit}_l"), F.col("excess").alias(f"{unit}_odds"))
-        judged = judged.join(own, F.col("source").eqNullSafe(F.col(f"{unit}_s")) & (F.col(unit) == F.col(f"{unit}_l")), "left")
-    by_length = F.greatest("chars_odds", "bytes_odds")
+    # Of each source its few significant lengths; the odds by length are the greater of those of code points and bytes.
+    by_source = limits.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("unit", F.lit(":"), "length"), "excess"))).alias("limits"))
+    judged = judged.join(by_source, F.col("source").eqNullSafe(F.col("s")), "left")
+    by_length = F.greatest(*[F.try_element_at("limits", F.concat(F.lit(f"{unit}:"), F.col(unit))) for unit in ("chars", "bytes")])
     # Texts without a last word meet none, each under a key of its own.
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("key"), F.lit(100_000)).cast("string"))
     at = judged.select("key", "source", "chars", "form", F.when(F.col("word") != "", F.col("word")).otherwise(spread).alias("word"), by_length.isNotNull().alias("at_limit"), F.coalesce(F.greatest(by_length, F.lit(TRANSFER_ODDS)), F.lit(TRANSFER_ODDS)).alias("by_length"))
