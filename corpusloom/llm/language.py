@@ -34,8 +34,8 @@ NAMES = {
 }
 TRAIN_PASSAGES = 300
 WIDTH, SPAN, STEPS, BATCH = 16, 80, 240, 96
-WINDOW, CONTEXT, STEP, AT_ONCE = 256, 16, 32, 1_024
-SLICE_ROWS = 256
+WINDOW, CONTEXT, STEP, AT_ONCE = 256, 16, 32, 512
+SLICE_ROWS = 512
 MIN_WORDS, MIN_LETTERS = 4, 18
 #: By how much a byte, on average, another language must be likelier than the text's own for a sentence to leave it.
 MARGIN = 1.2
@@ -86,28 +86,31 @@ class ByteNetwork:
             h = states[t] = new
         return states, saved
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """What _run gives, without what learning needs: one array for each gate and nothing allocated in between."""
+    def _states(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What _run gives in both directions, without what learning needs: both at once, nothing allocated in between."""
         steps, n = x.shape
         c = self.width
         # A logistic gate is half a hyperbolic tangent of half its input.
-        table = [np.ascontiguousarray(self.w[f"in{d}"][:, i * c : (i + 1) * c] * k) for i, k in enumerate((np.float32(0.5), np.float32(0.5), np.float32(1)))]
-        rec = [np.ascontiguousarray(self.w[f"rec{d}"][:, i * c : (i + 1) * c] * k) for i, k in enumerate((np.float32(0.5), np.float32(0.5), np.float32(1)))]
+        halves = (np.float32(0.5), np.float32(0.5), np.float32(1))
+        table = [np.concatenate([self.w[f"in{d}"][:, i * c : (i + 1) * c] * k for d in "fb"]) for i, k in enumerate(halves)]
+        rec = [np.stack([self.w[f"rec{d}"][:, i * c : (i + 1) * c] * k for d in "fb"]) for i, k in enumerate(halves)]
+        at = np.concatenate([x, x[::-1] + 256], axis=1).astype(np.intp)
         kind = table[0].dtype
-        states, last = np.empty((steps, n, c), dtype=kind), np.zeros((n, c), dtype=kind)
-        z, r, u, a = (np.empty((n, c), dtype=kind) for _ in range(4))
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+        states, last = np.empty((steps, 2, n, c), dtype=kind), np.zeros((2, n, c), dtype=kind)
+        z, r, u, a = (np.empty((2, n, c), dtype=kind) for _ in range(4))
+        flat = a.reshape(2 * n, c)
+        for t in range(steps):
             for gate, i in ((z, 0), (r, 1)):
-                np.take(table[i], x[t], axis=0, out=a, mode="clip")
-                np.dot(last, rec[i], out=gate)
+                table[i].take(at[t], axis=0, out=flat, mode="clip")
+                np.matmul(last, rec[i], out=gate)
                 gate += a
                 np.tanh(gate, out=gate)
                 gate += 1
             z *= 0.5
-            np.dot(last, rec[2], out=u)
+            np.matmul(last, rec[2], out=u)
             r *= u
             r *= 0.5
-            np.take(table[2], x[t], axis=0, out=a, mode="clip")
+            table[2].take(at[t], axis=0, out=flat, mode="clip")
             r += a
             np.tanh(r, out=r)
             new = states[t]
@@ -115,13 +118,13 @@ class ByteNetwork:
             new *= z
             new += r
             last = new
-        return states
+        return states[:, 0], states[::-1, 1]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """x: bytes, time first -> log-probabilities of the languages at each byte."""
-        x = x.astype(np.intp)
-        o = self._states(x, "f") @ self.w["out"][: self.width]
-        o += self._states(x, "b") @ self.w["out"][self.width :]
+        f, b = self._states(x.astype(np.int64))
+        o = f @ self.w["out"][: self.width]
+        o += b @ self.w["out"][self.width :]
         o += self.w["bias"]
         o -= o.max(axis=-1, keepdims=True)
         o -= np.log(np.exp(o).sum(axis=-1, keepdims=True))
@@ -144,20 +147,26 @@ class ByteNetwork:
         g["out"] = both.reshape(-1, 2 * c).T @ e.reshape(-1, e.shape[-1])
         g["bias"] = e.sum(axis=(0, 1))
         back = e @ self.w["out"].T
+        # Bytes in order, so that the inputs of each are summed in one run.
+        order = np.argsort(x.ravel(), kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
         for d, part in (("f", back[..., :c]), ("b", back[..., c:])):
             rec = self.w[f"rec{d}"]
             dh = np.zeros_like(part[0])
-            inputs = np.empty((*x.shape, 3 * c), dtype=np.float32)
+            inputs, moves, hidden = np.empty((*x.shape, 3 * c), dtype=part.dtype), np.empty((*x.shape, 3 * c), dtype=part.dtype), np.empty((*x.shape, c), dtype=part.dtype)
             for t, h, z, r, cand, un in reversed(runs[d][1]):
                 dh = dh + part[t]
-                dz = dh * (h - cand) * z * (1 - z)
+                own, du = inputs[t], moves[t]
                 dn = dh * (1 - z) * (1 - cand * cand)
-                dr = dn * un * r * (1 - r)
-                inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                g[f"rec{d}"] += h.T @ du
+                own[:, :c] = dh * (h - cand) * z * (1 - z)
+                own[:, c : 2 * c] = dn * un * r * (1 - r)
+                own[:, 2 * c :] = dn
+                du[:, : 2 * c] = own[:, : 2 * c]
+                du[:, 2 * c :] = dn * r
+                hidden[t] = h
                 dh = dh * z + du @ rec.T
-            np.add.at(g[f"in{d}"], x.ravel(), inputs.reshape(-1, 3 * c))
+            g[f"rec{d}"] = hidden.reshape(-1, c).T @ moves.reshape(-1, 3 * c)
+            g[f"in{d}"][seen] = np.add.reduceat(inputs.reshape(-1, 3 * c)[order], first, axis=0)
         return loss, g
 
 

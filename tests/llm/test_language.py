@@ -87,8 +87,8 @@ def test_labels_do_not_depend_on_neighbours(labelled):
 
 def test_states_without_learning_equal_those_with(labelled):
     net, x = labelled[1], np.random.default_rng(0).integers(0, 256, (40, 7))
-    for d in "fb":
-        assert np.allclose(net._states(x, d), net._run(x, d, False)[0], atol=1e-5)
+    for d, states in zip("fb", net._states(x)):
+        assert np.allclose(states, net._run(x, d, False)[0], atol=1e-5)
 
 
 def test_nothing_to_learn_from(spark):
