@@ -15,6 +15,7 @@ ValueError); of several deliveries the latest counts; ties go to the language fi
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -123,12 +124,12 @@ class ByteNetwork:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """x: bytes, time first -> log-probabilities of the languages at each byte."""
         f, b = self._states(x.astype(np.int64))
-        o = f @ self.w["out"][: self.width]
-        o += b @ self.w["out"][self.width :]
-        o += self.w["bias"]
-        o -= o.max(axis=-1, keepdims=True)
-        o -= np.log(np.exp(o).sum(axis=-1, keepdims=True))
-        return o
+        c = self.width
+        # Class by class: there are few, and many bytes.
+        parts = [f @ self.w["out"][:c, k] + b @ self.w["out"][c:, k] + self.w["bias"][k] for k in range(len(self.w["bias"]))]
+        most = functools.reduce(np.maximum, parts)
+        total = np.log(sum(np.exp(p - most) for p in parts)) + most
+        return np.stack([p - total for p in parts], axis=-1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of labels y at every byte of x, and its gradients by backpropagation through time."""
