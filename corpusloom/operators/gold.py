@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, signals
 from corpusloom.operators.statistics import draw
-from corpusloom.session import cut_lineage
+from corpusloom.operators.substrings import held_in, marks
+from corpusloom.session import keep
 
 #: Words in a row that join a quotation to the texts that may hold it: quotations of ten words and more, shorter ones.
 LONG_GRAM, SHORT_GRAM = 8, 3
@@ -152,28 +153,20 @@ def rejection(question: Column, answer: Column, quotes: Column, passage: Column)
 def reanchor(old: DataFrame, new: DataFrame) -> DataFrame:
     """Where each old chunk (id, document, text) lies in a new corpus: by id, by equal text, by being contained, by containing; else lost.
 
-    Only what a stage leaves reaches the next.  The stages of equal texts join on id and on text hash; those of
-    containing texts are containment joins by word runs, of different texts, whose pairs are then held to one
-    document.  No stage compares all pairs of a document.
+    Only what a stage leaves reaches the next.  Texts stand as digests in all joins, so a row may come more
+    than once; texts that contain others of their document are met by `held_in`.  No stage compares all pairs
+    of a document.
     """
-    o = cut_lineage(old.select("id", "document", fold(F.col("text")).alias("t")).withColumn("h", F.xxhash64("t")))
-    n = cut_lineage(new.select(F.col("id").alias("new_id"), "document", fold(F.col("text")).alias("u")).withColumn("h", F.xxhash64("u")))
-    same = o.join(n, (o["id"] == n["new_id"]) & (o["t"] == n["u"])).select("id", "new_id", F.lit("id").alias("how"))
-    rest = o.join(same, "id", "left_anti")
-    equal = rest.join(n.select("new_id", "u", "h"), "h").filter("t = u AND t <> ''").select("id", "new_id", F.lit("text").alias("how"))
-    rest = cut_lineage(rest.join(equal, "id", "left_anti").filter("t <> ''"))
-    # Different texts of each document, under their hashes.
-    left = rest.groupBy("document", "h").agg(F.first("t").alias("t"))
-    right = n.filter("u <> ''").groupBy("document", "h").agg(F.first("u").alias("t"))
-
-    def holds(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        """Columns (document, in_h, out_h): texts that stand in others of their document."""
-        key = F.struct("document", "h")
-        pairs = containment(inner.select(key.alias("quote_id"), F.col("t").alias("quote")), outer.select(key.alias("text_id"), F.col("t").alias("text")))
-        return pairs.filter("quote_id.document = text_id.document").select(F.col("quote_id.document").alias("document"), F.col("quote_id.h").alias("in_h"), F.col("text_id.h").alias("out_h"))
-
-    contained = holds(left, right).select("document", F.col("in_h").alias("h"), F.col("out_h").alias("new_h"), F.lit("contained").alias("how"))
-    contains = holds(right, left).select("document", F.col("out_h").alias("h"), F.col("in_h").alias("new_h"), F.lit("contains").alias("how"))
+    o = keep(marks(old).distinct())
+    n = keep(marks(new).distinct()).withColumnRenamed("id", "new_id")
+    same = o.join(n.select(F.col("new_id").alias("id"), "h").distinct(), ["id", "h"]).select("id", F.col("id").alias("new_id"), F.lit("id").alias("how"))
+    rest = o.filter("size > 0").join(same, "id", "left_anti")
+    equal = keep(rest.join(n.select("new_id", "h"), "h").select("id", "new_id", F.lit("text").alias("how")).distinct())
+    rest = keep(rest.join(equal, "id", "left_anti"))
+    # Different texts of each document, under their digests.
+    left, right = rest.drop("id").distinct(), n.filter("size > 0").drop("new_id").distinct()
+    contained = held_in(left, new).select("document", F.col("in_h").alias("h"), F.col("out_h").alias("new_h"), F.lit("contained").alias("how"))
+    contains = held_in(right, old).select("document", F.col("out_h").alias("h"), F.col("in_h").alias("new_h"), F.lit("contains").alias("how"))
     within = contained.union(contains).join(n.select("document", "new_id", F.col("h").alias("new_h")), ["document", "new_h"]).join(rest.select("id", "document", "h"), ["document", "h"]).select("id", "new_id", "how")
     rank = F.when(F.col("how") == "contained", 0).otherwise(1)
     best = within.withColumn("r", F.dense_rank().over(Window.partitionBy("id").orderBy(rank))).filter("r = 1").drop("r")

@@ -131,7 +131,8 @@ def b_rejections(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def b_reanchor(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d, "document_id").filter("text IS NOT NULL").select("id", F.col("metadata.document_id").alias("document"), "text")
+    # Deliveries of an id have one text, and a row may come more than once: no text is shuffled to drop the later ones.
+    c = table(spark, d, "pdf_chunks").filter("text IS NOT NULL").select("id", F.col("metadata.document_id").alias("document"), "text")
     new = c.withColumn("new", T.chunk_id(F.col("document"), F.col("text")))
     return B.reanchor(c, new.select(F.col("new").alias("id"), "document", F.when(F.length("text") > 300, F.substring("text", 51, 1_000_000)).otherwise(F.col("text")).alias("text")))
 

@@ -2,12 +2,15 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import fold
 from corpusloom.operators import agreement as A
 from corpusloom.operators import gold as B
 from corpusloom.operators import statistics as Q
+from corpusloom.operators.substrings import fold_slice, held_in, marks
 
 
 def one(df):
@@ -177,6 +180,44 @@ def test_reanchoring_against_all_pairs(spark):
         assert got[key] == want, (key, t)
 
 
+def test_folding_in_slices_equals_the_expression(spark):
+    rng = random.Random(5)
+    some = "aZ çÃé\u0301 \u00ad\u0130\u03a3\u03c3\u1e9e\u2003\t\n\u3000€𝔸Ññ.\u00a0"
+    texts = ["", " ", "\u00ad", "ΟΔΟΣ ΟΔΟΣ", "İSTANBUL Σ"] + ["".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", fold(F.col("x")).alias("t")).orderBy("k").collect()]
+    raw = [x.encode() for x in texts]
+    data, bounds = fold_slice(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == want
+
+
+def test_texts_within_texts_of_a_document_against_all_pairs(spark):
+    """Parts of every length, cut anywhere, of texts that repeat themselves; rows come twice."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abç d") for _ in range(n)) for n in (3, 9, 40, 200, 700)] + ["ab" * 90, "e" * 50]
+    rows = [(f"o{i}", "d", t) for i, t in enumerate(texts)]
+    parts = [t[a : a + n] for t in texts for n in (1, 2, 7, 16, 31, 64, 130, 500) for a in (rng.randrange(len(t)),)] + ["x" * 30]
+    new = [(f"n{i}", rng.choice("dde"), t) for i, t in enumerate(parts)]
+    kinds = "id string, document string, text string"
+    old, later = spark.createDataFrame(rows * 2, kinds), spark.createDataFrame(new, kinds)
+    ready = marks(later).filter("size > 0").drop("id").distinct()
+    plain = {r.k: r.t for r in spark.createDataFrame([(k, t) for k, _, t in rows + new], "k string, x string").select("k", fold(F.col("x")).alias("t")).collect()}
+    named = {r.h: r.id for r in marks(old.union(later)).collect()}
+    got = {(plain[named[r.in_h]], plain[named[r.out_h]]) for r in held_in(ready, old).collect()}
+    assert got == {(plain[a], plain[b]) for a, d, _ in new for b, e, _ in rows if d == e and plain[a] and plain[a] in plain[b]} and len(got) > 20
+
+
+def test_reanchoring_makes_no_row_of_every_word_run(spark):
+    """Such rows filled the disk."""
+    text = " ".join(f"palavra{i}" for i in range(3_000))
+    kinds = "id string, document string, text string"
+    marked = marks(spark.createDataFrame([("a", "d", text), ("b", "d", text[50:])], kinds))
+    assert marked.count() == 2 and "text" not in marked.columns
+    old, new = spark.createDataFrame([("a", "d", text)], kinds), spark.createDataFrame([("b", "d", text[55:])], kinds)
+    got = B.reanchor(old, new)
+    assert [tuple(r) for r in got.collect()] == [("a", "b", "contains", 1)]
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_boundary(spark):
     p = spark.createDataFrame([("k", 5), ("k", 100), ("k", 0), ("z", 1)], "key string, x bigint")
     b = spark.createDataFrame([("k", 2), ("k", 8), ("k", 50)], "key string, at bigint")
