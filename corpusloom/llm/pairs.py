@@ -4,13 +4,15 @@ An answer is cut into clauses; a linear-chain field tags each as answer, refusal
 unfinished; the share of the answer's words under each tag and the tag of the last clause decide the
 defect.  What a clause says comes to the field as hashed words, word pairs, word beginnings and word
 ends; beside them stand its overlap with the question, the language of clause, answer and question, and
-how the answer ends.  The field is trained in numpy on at most TRAIN_PAIRS pairs, the least by hash: their
-sound answers as they are, defects made from them (cut short, questions said back, answers of another
+how the answer ends.  The field is trained in numpy on all pairs, in shards of about SHARD_PAIRS by hash of
+their key: a first field is fitted to one shard, every shard goes on from it with its own pairs where they
+lie, and the field is their mean, weighed by what each learnt from.  A shard learns from its sound answers as they are, defects made from them (cut short, questions said back, answers of another
 language) and refusals put together in `refusals`.  A first field learns from the half of the answers
 whose words are most those of questions; the other half's answers that it takes for refusals are then learnt
 as refusals, in a second trial too, and those it doubts are left out.
-How many different answers open with the same two words, and how often a last word stands elsewhere, are
-counted over the whole corpus.
+How many different answers open with the same two words, how often a last word stands elsewhere, the
+languages' words and the words of questions are counted over the whole corpus; a word is one of questions if
+it stands once in SHARD_PAIRS pairs or more often.
 
 Defined cases: null, blank and placeholder answers are `empty`; a null question can be neither copied nor
 missed in language; of several deliveries of a key the latest counts; rows with a null key give no rows;
@@ -23,7 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ from corpusloom.llm.truncation import closing_words, word_key
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-TRAIN_PAIRS = 1_500
+SHARD_PAIRS = 1_500
 STEPS, TRIAL_STEPS, TRIALS = 80, 40, 3
+#: Steps of a shard that goes on from the first field, and their length against those of the first.
+NEXT_STEPS, NEXT_PACE = 12, 0.2
 #: Expected share of an answer's words from which it is a refusal (half for one of under FEW_WORDS words), and
 #: from which it is not learnt from as sound; refusals come in more wordings than the field has met.
 REFUSAL_SHARE, FEW_WORDS, DOUBT = 0.2, 4, 0.03
@@ -94,22 +98,36 @@ class Speech:
     def __init__(self, texts: list[list[str]], asked: list[list[str]], rounds: int = 2):
         self.names = list(SEEDS)
         self.weights: dict[str, np.ndarray] = {}
-        base: dict[str, np.ndarray] = {}
+        self._base: dict[str, np.ndarray] = {}
         for k, name in enumerate(self.names):
             for w in SEEDS[name]:
-                base.setdefault(w, np.zeros(len(self.names)))[k] += 20.0
-        self._weigh(base)
+                self._base.setdefault(w, np.zeros(len(self.names)))[k] += 20.0
+        self._weigh(self._base)
         #: Words of the questions learnt from.
         self.asked = {w for t in asked for w in t}
+        #: How often a word stands in answers and how often it closes a clause there.
+        self.stands, self.closes = Counter(), Counter()
         for _ in range(rounds):
-            counts = {w: v.copy() for w, v in base.items()}
-            for text in texts:
-                name, lead = self.of(text)
-                if lead >= ASKED_LEAD:
-                    k = self.names.index(name)
-                    for w in text:
-                        counts.setdefault(w, np.zeros(len(self.names)))[k] += 1.0
-            self._weigh(counts)
+            self.learn(self.count(texts))
+
+    def count(self, texts: Iterable[list[str]]) -> dict[str, list[float]]:
+        """How often each language has each word, in texts whose language is plain."""
+        counts: dict[str, list[float]] = {}
+        for text in texts:
+            name, lead = self.of(text)
+            if lead >= ASKED_LEAD:
+                k = self.names.index(name)
+                for w in text:
+                    if w not in counts:
+                        counts[w] = [0.0] * len(self.names)
+                    counts[w][k] += 1.0
+        return counts
+
+    def learn(self, counts: dict[str, list[float]]) -> None:
+        both = {w: v.copy() for w, v in self._base.items()}
+        for w, v in counts.items():
+            both[w] = both[w] + v if w in both else np.array(v)
+        self._weigh(both)
 
     def _weigh(self, counts: dict[str, np.ndarray]) -> None:
         seen = np.array(list(counts.values()))
@@ -242,7 +260,7 @@ class ClauseField:
         live[owner, at] = True
         return owner, at, live
 
-    def fit(self, pairs: list[Pair], tags: list[list[int]], steps: int = STEPS, decay: float = 1e-3) -> ClauseField:
+    def fit(self, pairs: list[Pair], tags: list[list[int]], steps: int = STEPS, decay: float = 1e-3, length: float = 1.0) -> ClauseField:
         """Full-batch ascent of the conditional likelihood; gradients by forward and backward sums over all chains at once."""
         n, c = len(pairs), len(TAGS)
         order = sorted(range(n), key=lambda i: -len(pairs[i].rows))
@@ -272,7 +290,7 @@ class ClauseField:
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 v = getattr(self, name)
-                v += pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+                v += length * pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
         return self
 
     def marginals(self, pairs: list[Pair]) -> list[np.ndarray]:
@@ -365,13 +383,7 @@ def make_training(pairs: list[tuple[str | None, str, int, int, int]], speech: Sp
     for x, _ in [*sound, *short, *lists]:
         own.append((len(made), 2.0 if not x.ended else sum(w in speech.asked for c in x.words for w in c) / max(1, sum(map(len, x.words)))))
         add(x, [ANSWER] * len(x.rows))
-    # How often a word of the sample stands and closes a clause, for the last words of answers cut short here.
-    stands, closes = Counter(), Counter()
-    for x, _ in given:
-        low = x.answer.lower()
-        for m in PLACE.finditer(low, 0, len(low)):
-            stands[m.group()] += 1
-            closes[m.group()] += low[m.end() : m.end() + 1] in tuple(".;,:!?|")
+    stands, closes = speech.stands, speech.closes
     # Lists are few but all alike: each is learnt from several times, whole and cut short.
     for x, p in lists:
         for _ in range(3):
@@ -417,37 +429,73 @@ def make_training(pairs: list[tuple[str | None, str, int, int, int]], speech: Sp
     return made, tags, own
 
 
-def train(pairs: list[tuple[str | None, str, int, int, int]]) -> ClauseField | None:
+def places_in(answers: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each word stands in answers and how often it closes a clause, for the last words of answers cut short here."""
+    stands, closes = Counter(), Counter()
+    for answer in answers:
+        low = answer.strip(BLANKS).lower()
+        for m in PLACE.finditer(low, 0, len(low)):
+            stands[m.group()] += 1
+            closes[m.group()] += low[m.end() : m.end() + 1] in tuple(".;,:!?|")
+    return stands, closes
+
+
+def _doubtful(own: list[tuple[int, float]]) -> set[int]:
+    middle = float(np.median([share for _, share in own])) if own else 0.0
+    return {i for i, share in own if share < middle} if len(own) >= 8 else set()
+
+
+def _settle(trial: ClauseField, made: list[Pair], tags: list[list[int]], doubtful: set[int], drop: set[int]) -> None:
+    """Tags the answers in doubt as a trial takes them; those it doubts are dropped."""
+    order = sorted(doubtful)
+    judged = [made[i] for i in order]
+    for i, chances in zip(order, trial.marginals(judged) if judged else []):
+        chance, found = coverage(made[i], chances)[REFUSAL], defect(made[i], chances)
+        long = sum(map(len, made[i].words)) >= FEW_WORDS
+        tags[i] = [REFUSAL if long and chance > REFUSAL_SHARE else ANSWER] * len(tags[i])
+        if (chance > DOUBT and tags[i][0] == ANSWER) or found not in (None, "refusal"):
+            drop.add(i)
+        else:
+            drop.discard(i)
+
+
+def train(pairs: list[tuple[str | None, str, int, int, int]], speech: Speech | None = None) -> ClauseField | None:
     """A field fitted to pairs of (question, answer, openings, places, closing); None without a sound answer."""
-    asked = [words(fold(p[0])) for p in pairs if p[0]]
-    speech = Speech([*asked, *(words(fold(p[1])) for p in pairs if p[1])], asked)
+    if speech is None:
+        asked = [words(fold(p[0])) for p in pairs if p[0]]
+        speech = Speech([*asked, *(words(fold(p[1])) for p in pairs if p[1])], asked)
+        speech.stands, speech.closes = places_in(p[1] for p in pairs if p[0] and p[1] and not is_empty(p[1]))
     made, tags, own = make_training(pairs, speech)
     if not made:
         return None
     width = len(made[0].rows[0])
     drop: set[int] = set()
-    middle = float(np.median([share for _, share in own])) if own else 0.0
-    doubtful = {i for i, share in own if share < middle}
-    for _ in range(TRIALS if len(own) >= 8 and doubtful else 0):
+    doubtful = _doubtful(own)
+    for _ in range(TRIALS if doubtful else 0):
         # Only answers taken for refusals so far are learnt from beside those not in doubt.
         learn = [i for i in range(len(made)) if i not in doubtful or tags[i][0] == REFUSAL]
-        trial = ClauseField(width).fit([made[i] for i in learn], [tags[i] for i in learn], TRIAL_STEPS)
-        order = sorted(doubtful)
-        judged = [made[i] for i in order]
-        for i, chances in zip(order, trial.marginals(judged)):
-            chance, found = coverage(made[i], chances)[REFUSAL], defect(made[i], chances)
-            long = sum(map(len, made[i].words)) >= FEW_WORDS
-            tags[i] = [REFUSAL if long and chance > REFUSAL_SHARE else ANSWER] * len(tags[i])
-            if (chance > DOUBT and tags[i][0] == ANSWER) or found not in (None, "refusal"):
-                drop.add(i)
-            else:
-                drop.discard(i)
+        _settle(ClauseField(width).fit([made[i] for i in learn], [tags[i] for i in learn], TRIAL_STEPS), made, tags, doubtful, drop)
     keep = [i for i in range(len(made)) if i not in drop]
     field = ClauseField(width).fit([made[i] for i in keep], [tags[i] for i in keep])
     field.speech = speech
     return field
 
 
+def train_further(first: ClauseField, pairs: list[tuple[str | None, str, int, int, int]], seed: int) -> tuple[ClauseField, int] | None:
+    """The first field after some steps on other pairs, and how many chains it learnt from; None without a sound answer."""
+    made, tags, own = make_training(pairs, first.speech, seed)
+    if not made:
+        return None
+    drop: set[int] = set()
+    _settle(first, made, tags, _doubtful(own), drop)
+    keep = [i for i in range(len(made)) if i not in drop]
+    if not keep:
+        return None
+    field = ClauseField(len(first.w))
+    field.w, field.h, field.t = first.w.copy(), first.h.copy(), first.t.copy()
+    return field.fit([made[i] for i in keep], [tags[i] for i in keep], NEXT_STEPS, length=NEXT_PACE), len(keep)
+
+
 def _opening(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*(\S+\s+\S+)", 1)
 
@@ -475,9 +523,86 @@ def prepare(rows: DataFrame, key: str, question: str, answer: str, time: str) ->
     return pairs.join(counts, pairs["key"] == counts["k"]).select("key", "question", "answer", "openings", "places", "closing")
 
 
-def train_on(prepared: DataFrame, limit: int = TRAIN_PAIRS) -> ClauseField | None:
-    rows = prepared.filter("answer IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(limit).collect()
-    return train([(r.question, r.answer, r.openings, r.places, r.closing) for r in rows])
+def speech_of(prepared: DataFrame, n: int, rounds: int = 2) -> Speech:
+    """Speech learnt from all n pairs, counts held to those of SHARD_PAIRS pairs."""
+    speech, scale = Speech([], []), max(1.0, n / SHARD_PAIRS)
+    sc = prepared.sparkSession.sparkContext
+    columns = "kind string, word string, a double, b double, c double"
+    for k in range(rounds):
+        shared = sc.broadcast(speech)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
+            asked, stands, closes = Counter(), Counter(), Counter()
+            spoken: dict[str, list[float]] = {}
+            for batch in batches:
+                rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+                questions = [words(fold(q)) for q, _ in rows if q]
+                for w, v in shared.value.count([*questions, *(words(fold(a)) for _, a in rows if a)]).items():
+                    spoken[w] = [x + y for x, y in zip(spoken[w], v)] if w in spoken else v
+                if first:
+                    asked.update(w for q in questions for w in q)
+                    some = places_in(a for q, a in rows if q and a and not is_empty(a))
+                    stands.update(some[0])
+                    closes.update(some[1])
+            out = [("spoken", w, *v) for w, v in spoken.items()] + [("asked", w, float(v), 0.0, 0.0) for w, v in asked.items()] + [("place", w, float(v), float(closes[w]), 0.0) for w, v in stands.items()]
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out[at : at + 10_000])], names=["kind", "word", "a", "b", "c"])
+
+        rows = prepared.select("question", "answer").mapInArrow(count, columns).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in "abc"])
+        found = rows.filter(F.when(F.col("kind") == "asked", F.col("a") >= scale).otherwise(True)).toArrow().to_pydict()
+        told = list(zip(*(found[c] for c in ("kind", "word", "a", "b", "c"))))
+        speech.learn({w: [a / scale, b / scale, c / scale] for kind, w, a, b, c in sorted(told) if kind == "spoken"})
+        if k == 0:
+            speech.asked = {r[1] for r in told if r[0] == "asked"}
+            speech.stands = Counter({r[1]: int(r[2]) for r in told if r[0] == "place"})
+            speech.closes = Counter({r[1]: int(r[3]) for r in told if r[0] == "place"})
+    return speech
+
+
+def train_on(prepared: DataFrame) -> ClauseField | None:
+    """A field that all pairs have taught: see above."""
+    rows = prepared.filter("answer IS NOT NULL")
+    n = rows.count()
+    shards = max(1, round(n / SHARD_PAIRS))
+    sharded = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("key").alias("h"), F.col("key").cast("string").alias("k"), "question", "answer", "openings", "places", "closing")
+    speech = speech_of(rows, n)
+    first, start = None, 0
+    while first is None and start < shards:
+        own = sharded.filter(F.col("shard") == start).orderBy("h", "k").collect()
+        first, start = train([tuple(r)[3:] for r in own], speech), start + 1
+    if first is None or shards == 1:
+        return first
+    shared = prepared.sparkSession.sparkContext.broadcast(first)
+    shapes = [first.w.shape, first.h.shape, first.t.shape]
+
+    def go_on(key: tuple, table: pa.Table) -> pa.Table:
+        pairs = list(zip(*(table.column(c).to_pylist() for c in ("h", "k", "question", "answer", "openings", "places", "closing"))))
+        got = train_further(shared.value, [p[2:] for p in sorted(pairs, key=lambda p: p[:2])], 3 + key[0].as_py())
+        if got is None:
+            return pa.table({"learnt": pa.array([], pa.int64()), "moved": pa.array([], pa.binary())})
+        field, learnt = got
+        moved = np.concatenate([(getattr(field, x) - getattr(shared.value, x)).ravel() for x in "wht"])
+        return pa.table({"learnt": pa.array([learnt], pa.int64()), "moved": pa.array([moved.astype(np.float32).tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = 0, 0.0
+        for batch in batches:
+            for learnt, moved in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total, sums = total + learnt, sums + learnt * np.frombuffer(moved, dtype=np.float32).astype(np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tobytes()], pa.binary())], names=["learnt", "moved"])
+
+    # One sum a task comes to the driver.
+    sums = sharded.groupBy("shard").applyInArrow(go_on, "learnt bigint, moved binary").mapInArrow(add, "learnt bigint, moved binary")
+    total, moved = 0, np.zeros(sum(int(np.prod(x)) for x in shapes))
+    for r in sums.toLocalIterator():
+        total, moved = total + r.learnt, moved + np.frombuffer(bytes(r.moved))
+    at = 0
+    for name, shape in zip("wht", shapes):
+        size = int(np.prod(shape))
+        setattr(first, name, getattr(first, name) + moved[at : at + size].reshape(shape) / max(1, total))
+        at += size
+    return first
 
 
 def judge(field: ClauseField | None, rows: list[tuple]) -> list[str | None]:

@@ -127,6 +127,24 @@ def test_no_training_refusal_stands_in_the_test_tables(spark):
     assert not made & {fold(t).strip(" .") for t in UNSEEN_REFUSALS}
 
 
+def test_every_pair_teaches(spark, monkeypatch):
+    """A change of one pair moves the field and its counts, in whichever shard it lies."""
+    monkeypatch.setattr("corpusloom.llm.pairs.SHARD_PAIRS", 30)
+    rows = [r for r in pairs() if r[0] is not None and r[0] < 900 and r[1] != "x"]
+
+    def learnt(rows):
+        return train_on(prepare(spark.createDataFrame(rows, "n bigint, question string, answer string, at int, defect string"), "n", "question", "answer", "at"))
+
+    whole = learnt(rows)
+    assert whole.speech.stands["prazo"] == len({r[0] for r in rows if r[0] < 100})
+    keys = spark.createDataFrame([(r[0],) for r in rows], "n bigint").selectExpr("n", "pmod(xxhash64(n), 3) AS shard").distinct().collect()
+    assert {r.shard for r in keys} == {0, 1, 2}
+    for shard in (1, 2):
+        one = min(r.n for r in keys if r.shard == shard and r.n < 100)
+        other = learnt([(n, q, a.replace("encaminhar", "remeter") if n == one else a, *more) for n, q, a, *more in rows])
+        assert other.speech.stands["remeter"] == 1 and not np.allclose(other.h, whole.h)
+
+
 def test_coverage_is_by_words():
     speech = Speech([], [])
     pair = Pair("q", "Um dois tres. Quatro!", 1, 1, 1, speech)
